@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ BLANK = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Chunks a worker keeps; beyond it the cache starts anew (results do not depend on it).
-CACHE_ROWS, CACHE_CHARS = 400_000, 64
+CACHE_ROWS, CACHE_CHARS = 700_000, 64
+_IDS, _TEXT = itemgetter(0), itemgetter(1)
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -57,8 +59,8 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs])
         self.known: dict[str, tuple[bytes, str]] = {}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece, which is a non-empty byte string."""
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (non-empty byte strings) in one array, and the bounds of each piece in it."""
         size = np.array([len(p) for p in pieces])
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         sym = self.byte[flat]
@@ -93,10 +95,15 @@ class WordBpe:
         owner = np.concatenate([p[0] for p in parts])
         order = np.argsort(owner, kind="stable")
         ids = np.concatenate([p[1] for p in parts])[order]
-        return np.split(ids, np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1])
+        return ids, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(pieces)))]
 
     def _cut(self, chunk: str) -> list[int | bytes]:
         """The chunk's special ids and the bytes of its pieces, in order."""
+        if chunk.isascii():  # the common cases: letters, then perhaps one mark
+            if chunk.isalpha():
+                return [chunk.lower().encode()]
+            if chunk[-1] in ".,!|" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower().encode(), chunk[-1].encode()]
         out: list[int | bytes] = []
         for part in self.marks.split(chunk) if self.marks and "<" in chunk else [chunk]:
             if part in self.special:
@@ -112,12 +119,12 @@ class WordBpe:
         """Little-endian ids and decoded text of each chunk."""
         cut = {c: self._cut(c) for c in chunks}
         pieces = list({p for parts in cut.values() for p in parts if isinstance(p, bytes)})
-        ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True)) if pieces else {}
-        out = {}
-        for c, parts in cut.items():
-            own = np.concatenate([ids[p] if isinstance(p, bytes) else np.array([p]) for p in parts]) if parts else np.zeros(0, np.int64)
-            out[c] = own.astype("<u4").tobytes(), self.decode(own)
-        return out
+        done: dict[int | bytes, tuple[bytes, str]] = {i: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        if pieces:
+            ids, bound = self.encode_pieces(pieces)
+            raw, tokens, at = ids.astype("<u4").tobytes(), [self.token[i] for i in ids.tolist()], bound.tolist()
+            done |= {p: (raw[4 * i : 4 * j], " ".join(tokens[i:j])) for p, i, j in zip(pieces, at[:-1], at[1:], strict=True)}
+        return {c: done[parts[0]] if len(parts) == 1 else (b"".join(done[p][0] for p in parts), " ".join(done[p][1] for p in parts)) for c, parts in cut.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder, so tokens are joined by single spaces; special tokens stay."""
@@ -130,12 +137,14 @@ class WordBpe:
         if len(self.known) > CACHE_ROWS:
             self.known.clear()
         known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        fresh = self.learn(new)
-        known.update((c, v) for c, v in fresh.items() if len(c) <= CACHE_CHARS)
+        new = set().union(*split).difference(known)
+        known.update(self.learn(new))
         for chunks in split:
-            got = [known.get(c) or fresh[c] for c in chunks]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+            got = list(map(known.__getitem__, chunks))
+            yield b"".join(map(_IDS, got)), " ".join(filter(None, map(_TEXT, got)))
+        for c in new:
+            if len(c) > CACHE_CHARS:
+                del known[c]
 
 
 @lru_cache(maxsize=2)

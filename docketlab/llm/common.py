@@ -99,17 +99,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
     """Words `[^\\x20\\x09-\\x0D]+` of the rows data[off[i]:off[i+1]], A-Z lower-cased.
 
     Returns start and end (byte positions in data), row, and a 64-bit hash of each word. A hash is a
-    polynomial over the word's bytes modulo 2**64, read off one running sum over all bytes, then mixed.
+    polynomial over the word's bytes modulo 2**64, read off one running sum over all bytes, then mixed. With
+    prefixes, a fifth value has for each length the rows and hashes of the beginnings of longer words.
     """
     lo, hi = int(off[0]), int(off[-1])
     part = data[lo:hi]
     if not len(part):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        none = z, z, z, np.zeros(0, np.uint64)
+        return (*none, [(z, none[3])] * len(prefixes)) if prefixes else none
     gap = _SEPARATOR[part]
     first = np.empty(len(part), bool)
     first[0] = True
@@ -129,7 +131,14 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     np.cumsum(_LOWER[part] * power[: len(part)], out=total[1:])
     h = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     row = np.searchsorted(off, start + lo, side="right") - 1
-    return start + lo, end + lo, row, h
+    if not prefixes:
+        return start + lo, end + lo, row, h
+    stems = []
+    for k in prefixes:
+        at = np.flatnonzero(end - start > k)
+        s = start[at]
+        stems.append((row[at], mix64((total[s + k] - total[s]) * inverse[s] + np.uint64(k << 32))))
+    return start + lo, end + lo, row, h, stems
 
 
 def blocks(off: np.ndarray, size: int = 1 << 20):

@@ -50,7 +50,9 @@ def source_targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
 def _boundary(rows: DataFrame, left: DataFrame, bucket: Column) -> DataFrame:
     """left: source, need. The bucket of each source where its running sum first reaches need, and what is
     still needed inside it. At most 2**LEVEL rows a source reach the window."""
-    sums = rows.join(left, rows["source"].eqNullSafe(left["source"])).groupBy(rows["source"], left["need"], bucket.alias("bucket")).agg(F.sum("size").alias("sum"))
+    due = left.select(F.col("source").alias("s"), F.col("need").alias("due"))
+    sums = rows.select("source", "size", bucket.alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    sums = sums.join(due, sums["source"].eqNullSafe(due["s"])).select("source", "bucket", "sum", F.col("due").alias("need"))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(w), F.lit(0)))
     hit = sums.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("sum") >= F.col("need")))
@@ -63,24 +65,26 @@ def thresholds(sizes: DataFrame, targets: DataFrame, levels: int = 2) -> DataFra
     The rest of a budget after whole passes is filled in hash order; the document that crosses it is taken
     only if that ends nearer to the budget. Equal hashes (repeated ids) go together.
     """
+    targets = stored(targets, "targets")
     base = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     base = base.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     left, rows, shift = base.where("rest > 0").select("source", F.col("rest").alias("need")), sizes.where("size > 0"), BITS
     for _ in range(levels):
         shift -= LEVEL
         left = _boundary(rows, left, F.shiftright("hash", shift))
+        left = stored(left, "edge")  # one row a source
         edge = left.select(F.col("source").alias("s"), F.col("bucket").alias("b"))
-        rows = rows.join(edge, rows["source"].eqNullSafe(edge["s"]) & (F.shiftright(rows["hash"], shift) == edge["b"])).drop("s", "b")
+        rows = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift) == F.col("b"))).drop("s", "b")
         left = left.drop("bucket")
     last = rows.groupBy("source", "hash").agg(F.sum("size").alias("size"))
     n = left.select(F.col("source").alias("s"), "need")
-    last = last.join(n, last["source"].eqNullSafe(n["s"])).drop("s")
+    last = last.join(n, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     w = Window.partitionBy("source").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     last = last.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("size") >= F.col("need")))
     over = F.col("before") + F.col("size") - F.col("need")
     cut = last.select(F.col("source").alias("s"), F.when(over <= F.col("need") - F.col("before"), F.col("hash") + 1).otherwise(F.col("hash")).alias("below"))
-    out = base.join(cut, base["source"].eqNullSafe(cut["s"]), "left").drop("s", "rest")
+    out = base.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
     return out.withColumn("below", F.coalesce("below", F.lit(0)))
 
 
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """
     sizes = document_sizes(docs)
     cut = stored(thresholds(sizes, source_targets(sizes, cap)), "cuts").withColumnRenamed("source", "s")
-    joined = sizes.join(cut, sizes["source"].eqNullSafe(cut["s"]), "left")
+    joined = sizes.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
     copies = F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
     return joined.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "hash")
 
@@ -112,4 +116,4 @@ def mixed_documents(docs: DataFrame, cap: int = CAP) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     copies = F.when(size == 0, 1).otherwise(F.col("_p") + F.when(hash60(F.col("doc_id")) < F.col("_b"), 1).otherwise(0))
     names = docs.columns
-    return docs.join(cut, docs["source"].eqNullSafe(cut["_s"]), "left").withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[docs[c] for c in names])
+    return docs.join(cut, docs["source"].eqNullSafe(cut["_s"]), "left").withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in names])

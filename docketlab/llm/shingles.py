@@ -31,7 +31,7 @@ FRAGMENTS, SKETCH_WORDS = 8, 16
 #: Documents of one shingle that are compared in one piece; longer lists are cut into pairs of blocks.
 BLOCK = 4096
 SETS = "doc_id long, n int, cls long, items binary"
-PREFIX = "h long, cls long, n int, rare int"
+PREFIX = "h long, cls long, rare int"
 PARTS = "cls long, part int, items binary"
 
 
@@ -137,7 +137,7 @@ def _ordered(rows: np.ndarray, items: np.ndarray, classes: np.ndarray):
 
 
 def prefixes(docs: DataFrame, classes: bytes, num: int, den: int, width: int = WIDTH) -> DataFrame:
-    """h, cls, n, rare: the first n - ceil(n * num / den) + 1 shingles of each text's order; rare is the
+    """h, cls, rare: the first n - ceil(n * num / den) + 1 shingles of each text's order; rare is the
     number of its shingles in the lowest classes, least for the original among edited copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def prefixes(docs: DataFrame, classes: bytes, num: int, den: int, width: int = W
                 rare = np.add.reduceat((level <= base).astype(np.int32), at)
                 pos = np.arange(len(rows)) - np.repeat(at, n)
                 take = pos < np.repeat(n - -(-n * num // den) + 1, n)
-                cols = [items[take].view(np.int64), np.repeat(cls_id, n)[take], np.repeat(n, n)[take].astype(np.int32), np.repeat(rare, n)[take].astype(np.int32)]
+                cols = [items[take].view(np.int64), np.repeat(cls_id, n)[take], np.repeat(rare, n)[take].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=arrow(PREFIX))
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIX)
@@ -193,6 +193,32 @@ def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, nu
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
 
 
+def shared_prefixes(prefix: DataFrame) -> DataFrame:
+    """Distinct h, cls, rare of the prefix shingles that more than one class has, after one shuffle.
+
+    Rows arrive sorted by shingle and class, and only a run's first row is held back, so a shingle of any
+    number of documents passes in bounded memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent = np.zeros((0, 3), np.int64), False  # the row before this batch, and whether it is out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            had = len(last) > 0 and sent
+            t = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)])
+            t = t[np.r_[True, (t[1:, :2] != t[:-1, :2]).any(1)]]
+            same = t[1:, 0] == t[:-1, 0]
+            emit = np.r_[False, same] | np.r_[same, False]
+            last, sent = t[-1:], bool(emit[-1]) or (had and len(t) == 1)
+            if had:
+                emit[0] = False
+            out = t[emit]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], schema=arrow(PREFIX))
+
+    n = partitions(prefix.sparkSession)
+    return prefix.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(run, PREFIX)
+
+
 def _star(lists: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: each document of a shared shingle with the list's first (fewest rare shingles) and with the one
     before it, where lengths allow a link."""
@@ -305,9 +331,8 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     docs = docs.select(safe_key(docs["doc_id"]).alias("doc_id"), "text")
     members = stored(set_digests(docs, width), "sets")
     sets = stored(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("items").alias("items")), "classes")
-    listed = stored(prefixes(docs, frequency_classes(docs, width), num, den, width), "prefix")
-    shared = listed.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h")
-    lists = stored(listed.join(shared, "h").distinct(), "lists")
+    listed = prefixes(docs, frequency_classes(docs, width), num, den, width)
+    lists = stored(stored(shared_prefixes(listed), "lists").join(sets.select("cls", "n"), "cls"), "lists")
     firsts = sets.select("cls", "doc_id")
     pairs = stored(sifted(_star(lists, num, den), sets, num, den), "pairs")
     links = stored(verified(pairs, docs, firsts, num, den, width), "links")
