@@ -1,12 +1,12 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters vote "toxic", "clean" or abstain. The label model is fitted without labels by EM: a class prior and,
+Voters vote "toxic", "clean" or abstain. The label model is fitted by EM for a given class balance:
 for each voter, its vote rates in both classes; voters that still agree beyond what the class explains
-(conditional correlation) share one vote's weight. Its posteriors train a logistic classifier over the
+(conditional correlation) are merged into one. Its posteriors train a logistic classifier over the
 presence of lexicon words, patterns and common words, which scores every document.
 
-Labels serve only to propose lexicon voters (words far likelier in toxic training rows), on a bounded sample
-of SAMPLE training rows; the voters' accuracies do not come from them.
+Labels serve only to propose lexicon voters (words far likelier in toxic training rows) and for the class
+balance, on a bounded sample of SAMPLE training rows; the voters' accuracies do not come from them.
 """
 
 from __future__ import annotations
@@ -99,35 +99,42 @@ def _pattern_votes(stats: np.ndarray) -> np.ndarray:
     return (stats > np.array([0.5, 0.02, 0.05])).astype(np.float32)
 
 
-def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _em(votes: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors and each voter's rates of (clean, abstain, toxic) votes in the toxic and the clean class."""
+    kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
+    q = np.clip(0.5 + 0.45 * np.sign(votes.sum(1)), 0.05, 0.95)
+    for _ in range(rounds):
+        hi = np.stack([(k.T @ q + 0.5) / (q.sum() + 1.5) for k in kinds])
+        lo = np.stack([(k.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1.5) for k in kinds])
+        ratio = np.log(hi) - np.log(lo)
+        # a vote never speaks against its own side, and not voting says nothing
+        ratio[2], ratio[0], ratio[1] = np.maximum(ratio[2], 0), np.minimum(ratio[0], 0), 0
+        q = _logistic(np.log(prior / (1 - prior)) + sum(k @ r for k, r in zip(kinds, ratio, strict=True)))
+    return q, hi, lo
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "toxic" for each row of votes (1 toxic, -1 clean, 0 abstain), the voters' accuracies, and
-    the weights that correlated voters share.
+    the cluster of each voter.
 
-    EM over a prior and each voter's rates of the three votes in either class, started from the majority;
-    then once more with a voter's log-ratio divided by one plus its conditional correlations.
+    A first EM takes the voters as independent given the class. Voters whose votes still correlate beyond
+    what the class explains are one witness: each such cluster votes once, and a second EM weighs clusters.
     """
-    n, m = votes.shape
-    kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-    weight = np.ones(m)
-    q = np.clip(0.5 + 0.45 * np.sign(votes.sum(1)), 0.05, 0.95)
-    for stage in range(2):
-        for _ in range(rounds):
-            prior = np.clip(q.mean(), 0.001, 0.5)
-            hi = np.stack([(k.T @ q + 0.5) / (q.sum() + 1.5) for k in kinds])
-            lo = np.stack([(k.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1.5) for k in kinds])
-            ratio = (np.log(hi) - np.log(lo)) * weight
-            # a vote never speaks against its own side
-            ratio[2], ratio[0] = np.maximum(ratio[2], 0), np.minimum(ratio[0], 0)
-            ratio[1] = np.clip(ratio[1], -0.5, 0.0)
-            q = _logistic(np.log(prior / (1 - prior)) + sum(k @ r for k, r in zip(kinds, ratio, strict=True)))
-        if not stage:
-            left = votes - (q[:, None] * (hi[2] - hi[0]) + (1 - q)[:, None] * (lo[2] - lo[0]))
-            sd = np.sqrt((left**2).mean(0)) + 1e-9
-            corr = np.abs((left.T @ left) / n / np.outer(sd, sd))
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.3, corr, 0).sum(1))
-    accuracy = (hi[2] * prior + lo[0] * (1 - prior)) / np.maximum(hi[2] * prior + hi[0] * prior + (lo[0] + lo[2]) * (1 - prior), 1e-9)
-    return q, accuracy, weight
+    q, hi, lo = _em(votes, prior, rounds)
+    left = votes - (q[:, None] * (hi[2] - hi[0]) + (1 - q)[:, None] * (lo[2] - lo[0]))
+    sd = np.sqrt((left**2).mean(0)) + 1e-9
+    tied = (left.T @ left) / len(votes) / np.outer(sd, sd) > 0.3
+    against = (votes < 0).any(0)
+    cluster = np.arange(votes.shape[1])
+    for _ in range(votes.shape[1]):
+        new = np.array([cluster[tied[j] & (against == against[j])].min(initial=cluster[j]) for j in range(len(cluster))])
+        if (new == cluster).all():
+            break
+        cluster = new
+    merged = np.stack([np.where((v := votes[:, cluster == c]).max(1) > 0, 1, v.min(1)) for c in np.unique(cluster)], 1)
+    q, _, _ = _em(merged, prior, rounds)
+    right = (votes > 0).T @ q + (votes < 0).T @ (1 - q)
+    return q, (right + 0.5) / ((votes != 0).sum(0) + 1), cluster
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -157,6 +164,11 @@ def _spread(sets: list[np.ndarray], docs: np.ndarray) -> bool:
     return False
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.isin(a, b, assume_unique=True).sum()
+    return both > 0.9 * (len(a) + len(b) - both)
+
+
 def fit(row: np.ndarray, h: np.ndarray, stats: np.ndarray, toxic: np.ndarray) -> Model:
     """The model from a sample: rows and hashes of distinct words, pattern statistics and 0/1 labels."""
     n = len(toxic)
@@ -174,7 +186,12 @@ def fit(row: np.ndarray, h: np.ndarray, stats: np.ndarray, toxic: np.ndarray) ->
     mined = mined[np.argsort(-z[mined], kind="stable")][: 8 * MINED]
     sets = np.split(h, np.cumsum(np.bincount(row, minlength=n))[:-1])
     by_word = {int(w): row[inverse == w] for w in mined}
-    mined = np.sort(vocab[[w for w in mined if _spread(sets, by_word[int(w)][toxic[by_word[int(w)]] > 0])][:MINED]])
+    chosen: list[int] = []
+    for w in by_word:  # a word and its stem, found in the same documents, make one voter
+        own = by_word[w]
+        if len(chosen) < MINED and not any(_same(own, by_word[c]) for c in chosen) and _spread(sets, own[toxic[own] > 0]):
+            chosen.append(w)
+    mined = np.sort(vocab[chosen])
     common = np.argsort(-df, kind="stable")[:COMMON]
     common = vocab[common[df[common] >= max(5, n // 200)]]
     # voters: each fixed lexicon, each mined word, two or more different insults, patterns, nothing found
@@ -182,12 +199,12 @@ def fit(row: np.ndarray, h: np.ndarray, stats: np.ndarray, toxic: np.ndarray) ->
     groups = [_presence(row, h, n, v).any(1) for v in fixed.values()]
     found = each.sum(1) + np.sum(groups, 0)
     votes = np.c_[np.stack(groups, 1), each, found >= 2, _pattern_votes(stats)].astype(np.int8)
-    votes = np.c_[votes, np.where(found == 0, -1, 0), np.where((found == 0) & (stats[:, 0] < 0.3), -1, 0)]
-    q, _, _ = label_model(votes.astype(np.float64))
+    votes = np.c_[votes, np.where(found == 0, -1, 0)]
+    q, _, _ = label_model(votes.astype(np.float64), float(np.clip(toxic.mean(), 0.01, 0.5)))
     hashes = np.unique(np.concatenate([mined, common, *fixed.values()]))
     x = np.c_[_presence(row, h, n, hashes), _pattern_votes(stats)]
     strong = np.isin(hashes, np.concatenate([mined, *fixed.values()]))
-    scale = np.r_[np.where(strong, 4.0, 0.25), np.full(3, 0.25)]  # common words only tip the balance
+    scale = np.r_[np.where(strong, 12.0, 0.25), np.full(3, 0.25)]  # common words only tip the balance
     w, b = logistic_fit(x * scale, q)
     return Model(hashes, w[:-3] * scale[:-3], w[-3:] * scale[-3:], b)
 
