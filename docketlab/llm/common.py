@@ -38,6 +38,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of one long that may be broadcast (about 16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def semi(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """docs whose key is among ids (a stored table of one long): ids are counted first, and are broadcast only
+    under BROADCAST_ROWS, so that texts need not move; beyond it both sides shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash"), on, "left_semi")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow, blocks, mix64, partitions, safe_key, stored, utf8, words
+from .common import NULL_ID, arrow, blocks, mix64, partitions, safe_key, semi, stored, utf8, words
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -31,7 +31,7 @@ FRAGMENTS, SKETCH_WORDS = 8, 16
 #: Documents of one shingle that are compared in one piece; longer lists are cut into pairs of blocks.
 BLOCK = 4096
 SETS = "doc_id long, n int, cls long, items binary"
-PREFIX = "h long, cls long, rare int"
+PREFIX = "h long, cls long, n int, rare int"
 PARTS = "cls long, part int, items binary"
 
 
@@ -137,7 +137,7 @@ def _ordered(rows: np.ndarray, items: np.ndarray, classes: np.ndarray):
 
 
 def prefixes(docs: DataFrame, classes: bytes, num: int, den: int, width: int = WIDTH) -> DataFrame:
-    """h, cls, rare: the first n - ceil(n * num / den) + 1 shingles of each text's order; rare is the
+    """h, cls, n, rare: the first n - ceil(n * num / den) + 1 shingles of each text's order; rare is the
     number of its shingles in the lowest classes, least for the original among edited copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def prefixes(docs: DataFrame, classes: bytes, num: int, den: int, width: int = W
                 rare = np.add.reduceat((level <= base).astype(np.int32), at)
                 pos = np.arange(len(rows)) - np.repeat(at, n)
                 take = pos < np.repeat(n - -(-n * num // den) + 1, n)
-                cols = [items[take].view(np.int64), np.repeat(cls_id, n)[take], np.repeat(rare, n)[take].astype(np.int32)]
+                cols = [items[take].view(np.int64), np.repeat(cls_id, n)[take], np.repeat(n, n)[take].astype(np.int32), np.repeat(rare, n)[take].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=arrow(PREFIX))
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIX)
@@ -186,6 +186,17 @@ def sketches(rows: np.ndarray, items: np.ndarray, docs: np.ndarray) -> np.ndarra
     return np.packbits(parity & 1, axis=1, bitorder="little").view(np.uint64)
 
 
+def folded(sets: DataFrame) -> DataFrame:
+    """cls and its sketch at half the size: the parity of two slots together still bounds the difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sk = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, 2, SKETCH_WORDS // 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sk[:, 0] ^ sk[:, 1]], pa.binary())], schema=arrow("cls long, items binary"))
+
+    return sets.select("cls", "items").mapInArrow(run, "cls long, items binary")
+
+
 def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, num: int, den: int) -> np.ndarray:
     """False only where lengths or sketches prove Jaccard < num / den."""
     differ = np.bitwise_count(s1 ^ s2).sum(-1).astype(np.int64)
@@ -193,30 +204,30 @@ def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, nu
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
 
 
-def shared_prefixes(prefix: DataFrame) -> DataFrame:
-    """Distinct h, cls, rare of the prefix shingles that more than one class has, after one shuffle.
+def shared_prefixes(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct rows of prefix that share their shingle with a class of a size that allows a link; one shuffle.
 
-    Rows arrive sorted by shingle and class, and only a run's first row is held back, so a shingle of any
-    number of documents passes in bounded memory."""
+    Rows arrive sorted by shingle, size and class, so the nearest sizes are neighbours. Only one row is held
+    back, so a shingle of any number of documents passes in bounded memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sent = np.zeros((0, 3), np.int64), False  # the row before this batch, and whether it is out
+        last, sent = np.zeros((0, 4), np.int64), False  # the row before this batch, and whether it is out
         for b in batches:
             if not b.num_rows:
                 continue
             had = len(last) > 0 and sent
             t = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)])
-            t = t[np.r_[True, (t[1:, :2] != t[:-1, :2]).any(1)]]
-            same = t[1:, 0] == t[:-1, 0]
+            t = t[np.r_[True, (t[1:, :3] != t[:-1, :3]).any(1)]]
+            same = (t[1:, 0] == t[:-1, 0]) & (t[:-1, 2] * den >= t[1:, 2] * num)
             emit = np.r_[False, same] | np.r_[same, False]
             last, sent = t[-1:], bool(emit[-1]) or (had and len(t) == 1)
             if had:
                 emit[0] = False
             out = t[emit]
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32))], schema=arrow(PREFIX))
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32))], schema=arrow(PREFIX))
 
     n = partitions(prefix.sparkSession)
-    return prefix.repartition(n, "h").sortWithinPartitions("h", "cls").mapInArrow(run, PREFIX)
+    return prefix.repartition(n, "h").sortWithinPartitions("h", "n", "cls").mapInArrow(run, PREFIX)
 
 
 def _star(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,7 +241,7 @@ def _star(lists: DataFrame, num: int, den: int) -> DataFrame:
     return near.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
+def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of one shared shingle in different components which lengths and sketches do not rule out.
 
     Lists are dealt out in blocks of about BLOCK documents, one group per pair of blocks, so no task holds an
@@ -243,7 +254,7 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
             key = np.stack([t.column(c).to_numpy() for c in ("h", "i", "j")], 1)
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
             rep, n, comp, blk = (t.column(c).to_numpy() for c in ("cls", "n", "comp", "blk"))
-            sk = np.frombuffer(b"".join(t.column("items").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            sk = np.frombuffer(b"".join(t.column("items").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS // 2)
             a, b = [], []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 same = key[s, 1] == key[s, 2]
@@ -284,7 +295,9 @@ def _across(lists: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
         .withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "n", "comp", "items")
+        .select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "n", "comp")
+        .join(folded(sets), "cls")
+        .select("h", "i", "j", "blk", "cls", "n", "comp", "items")
     )
     n = partitions(lists.sparkSession)
     return dealt.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct()
@@ -314,8 +327,8 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, num: int, den
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], schema=arrow("a long, b long, same long"))
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = firsts.join(wanted, "cls").select("doc_id").distinct()
-    cut = stored(fragments(docs.join(ids, "doc_id", "left_semi"), FRAGMENTS, width).dropDuplicates(["cls", "part"]), "fragments")
+    ids = stored(firsts.join(wanted, "cls").select("doc_id").distinct(), "wanted")
+    cut = stored(fragments(semi(docs, ids, "doc_id"), FRAGMENTS, width).dropDuplicates(["cls", "part"]), "fragments")
     side = lambda k: cut.select(F.col("cls").alias(k), "part", F.col("items").alias(f"{k}_items"))
     overlap = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "part"]).select("a", "b", "a_items", "b_items").mapInArrow(count, "a long, b long, same long")
     total = overlap.groupBy("a", "b").agg(F.sum("same").alias("same")).join(pairs, ["a", "b"])
@@ -332,13 +345,13 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     members = stored(set_digests(docs, width), "sets")
     sets = stored(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("items").alias("items")), "classes")
     listed = prefixes(docs, frequency_classes(docs, width), num, den, width)
-    lists = stored(stored(shared_prefixes(listed), "lists").join(sets.select("cls", "n"), "cls"), "lists")
+    lists = stored(shared_prefixes(listed, num, den), "lists")
     firsts = sets.select("cls", "doc_id")
     pairs = stored(sifted(_star(lists, num, den), sets, num, den), "pairs")
     links = stored(verified(pairs, docs, firsts, num, den, width), "links")
     comp = components(links).withColumnRenamed("id", "cls")
-    placed = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).join(sets.select("cls", "items"), "cls").select("h", "cls", "n", "comp", "items")
-    pairs = stored(sifted(_across(placed, num, den), sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    placed = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("h", "cls", "n", "comp")
+    pairs = stored(sifted(_across(placed, sets, num, den), sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.union(stored(verified(pairs, docs, firsts, num, den, width), "links"))
     comp = components(links).withColumnRenamed("id", "cls")
     least = firsts.join(comp, "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
