@@ -27,7 +27,7 @@ from .components import components
 WIDTH, NUM, DEN = 5, 80, 100
 #: Slots of the frequency table: its size does not depend on the input.
 SLOTS, SLICE = 1 << 18, 1 << 12
-FRAGMENTS, SKETCH_WORDS = 8, 16
+FRAGMENTS = 8
 #: Documents of one shingle that are compared in one piece; longer lists are cut into pairs of blocks.
 BLOCK = 4096
 SETS = "doc_id long, n int, cls long, items binary"
@@ -91,7 +91,7 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 if len(rows):
                     own, size, ids = _class_ids(rows, items)
                     n[own], cls[own] = size, ids
-                    sketch[own] = [s.tobytes() for s in sketches(rows, items, own)]
+                    sketch[own] = sketches(items, size)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n), pa.array(cls), pa.array(sketch, pa.binary())], schema=arrow(SETS))
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
@@ -177,33 +177,61 @@ def fragments(docs: DataFrame, parts: int = FRAGMENTS, width: int = WIDTH) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, PARTS)
 
 
-def sketches(rows: np.ndarray, items: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Parity of the number of a row's items in each of 64 * SKETCH_WORDS slots, as words of 64 bits."""
-    slots = 64 * SKETCH_WORDS
-    slot = (mix64(items) % np.uint64(slots)).astype(np.int64)
-    parity = np.zeros((len(docs), slots), np.uint8)
-    np.add.at(parity, (np.searchsorted(docs, rows), slot), 1)
-    return np.packbits(parity & 1, axis=1, bitorder="little").view(np.uint64)
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the sketch of a set of n: the power of two with at least two bits an item."""
+    return np.int64(1) << np.ceil(np.log2(np.maximum(n / 32, 2))).astype(np.int64)
 
 
-def folded(sets: DataFrame) -> DataFrame:
-    """cls and its sketch at half the size: the parity of two slots together still bounds the difference."""
+def sketches(items: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each of the sets that follow one another in items (sizes n): the parity of the number of its items
+    in each of 64 * sketch_words(n) slots, one bit a slot. The bits in which two sketches differ are at most
+    the items in which the sets differ; halves of a sketch may be added bit by bit to fit a smaller one."""
+    bits = 64 * sketch_words(n)
+    base = np.r_[0, np.cumsum(bits)]
+    slot = (mix64(items) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(base[:-1], n)
+    raw = np.packbits((np.bincount(slot, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[i // 8 : j // 8] for i, j in zip(base[:-1], base[1:], strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sk = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, 2, SKETCH_WORDS // 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sk[:, 0] ^ sk[:, 1]], pa.binary())], schema=arrow("cls long, items binary"))
 
-    return sets.select("cls", "items").mapInArrow(run, "cls long, items binary")
+def _fold(sk: np.ndarray, width: int) -> np.ndarray:
+    while sk.shape[-1] > width:
+        half = sk.shape[-1] // 2
+        sk = sk[..., :half] ^ sk[..., half:]
+    return sk
 
 
 def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, num: int, den: int) -> np.ndarray:
-    """False only where lengths or sketches prove Jaccard < num / den."""
-    differ = np.bitwise_count(s1 ^ s2).sum(-1).astype(np.int64)
+    """False only where lengths or sketches (of one width each side) prove Jaccard < num / den."""
+    width = min(s1.shape[-1], s2.shape[-1])
+    differ = np.bitwise_count(_fold(s1, width) ^ _fold(s2, width)).sum(-1).astype(np.int64)
     # J >= t  <=>  |x ^ y| * (1 + t) <= (|x| + |y|) * (1 - t)
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
 
 
+def _pairs_of(n: np.ndarray, comp: np.ndarray, sk: list[bytes], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions x in left and y in right (None: two of left, x < y) that may link and lie in
+    different components. Rows are compared with rows of one sketch width at a time."""
+    a, b = [], []
+    width = np.array([len(s) for s in sk]) // 8
+    same = right is None
+    right = left if right is None else right
+    for w in np.unique(width[right]):
+        ys = right[width[right] == w]
+        table = np.frombuffer(b"".join([sk[y] for y in ys]), np.uint64).reshape(-1, w)
+        for x in left:
+            ok = (comp[ys] != comp[x]) & (np.minimum(n[ys], n[x]) * den >= np.maximum(n[ys], n[x]) * num)
+            if same:
+                ok &= ys > x
+            if ok.any():
+                own = np.frombuffer(sk[x], np.uint64)
+                at = np.flatnonzero(ok)
+                at = at[_may_link(n[x], n[ys[at]], own, table[at], num, den)]
+                a.append(np.full(len(at), x))
+                b.append(ys[at])
+    z = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (z, z)
+
+
 def shared_prefixes(prefix: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct rows of prefix that share their shingle with a class of a size that allows a link; one shuffle.
 
@@ -253,26 +281,17 @@ def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         def emit(t: pa.Table):
             key = np.stack([t.column(c).to_numpy() for c in ("h", "i", "j")], 1)
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
-            rep, n, comp, blk = (t.column(c).to_numpy() for c in ("cls", "n", "comp", "blk"))
-            sk = np.frombuffer(b"".join(t.column("items").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS // 2)
-            a, b = [], []
+            cls, n, comp, blk = (t.column(c).to_numpy().astype(np.int64) for c in ("cls", "n", "comp", "blk"))
+            sk = t.column("items").to_pylist()
+            got = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                same = key[s, 1] == key[s, 2]
-                for x in range(s, e):
-                    if same:
-                        others = np.arange(x + 1, e)
-                    elif blk[x] == key[s, 1]:
-                        others = np.flatnonzero(blk[s:e] == key[s, 2]) + s
-                    else:
-                        continue
-                    others = others[comp[others] != comp[x]]
-                    if len(others):
-                        others = others[_may_link(n[x], n[others], sk[x], sk[others], num, den)]
-                        a.append(np.full(len(others), rep[x]))
-                        b.append(rep[others])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                if (comp[s:e] != comp[s]).any():
+                    at = np.arange(s, e)
+                    left, right = (at, at) if key[s, 1] == key[s, 2] else (at[blk[at] == key[s, 1]], at[blk[at] == key[s, 2]])
+                    x, y = _pairs_of(n[s:e], comp[s:e], sk[s:e], left - s, right - s if left is not right else None, num, den)
+                    got.append(np.stack([cls[x + s], cls[y + s]], 1))
+            if got:
+                pairs = np.unique(np.sort(np.concatenate(got), 1), axis=0)
                 return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow("a long, b long"))
             return None
 
@@ -296,7 +315,7 @@ def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "n", "comp")
-        .join(folded(sets), "cls")
+        .join(sets.select("cls", "items"), "cls")
         .select("h", "i", "j", "blk", "cls", "n", "comp", "items")
     )
     n = partitions(lists.sparkSession)
@@ -309,8 +328,13 @@ def sifted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n1, n2 = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            s1, s2 = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for k in (4, 5))
-            ok = pa.array(_may_link(n1, n2, s1, s2, num, den))
+            s1, s2 = (b.column(k).to_pylist() for k in (4, 5))
+            ok, w = np.zeros(len(n1), bool), np.stack([sketch_words(n1), sketch_words(n2)], 1)
+            for p, q in np.unique(w, axis=0):
+                at = np.flatnonzero((w == (p, q)).all(1))
+                x, y = (np.frombuffer(b"".join([s[i] for i in at]), np.uint64).reshape(len(at), -1) for s in (s1, s2))
+                ok[at] = _may_link(n1[at], n2[at], x, y, num, den)
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(k).filter(ok) for k in range(4)], schema=arrow("a long, b long, n1 int, n2 int"))
 
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("items").alias("s1")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("items").alias("s2")), "b")
