@@ -147,7 +147,9 @@ def verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, edits: int = ED
     both = both.withColumn("tail", _common(F.col("x"), F.col("y"), F.col("least") - F.col("head"), True))
     cut = lambda c: F.split(F.substring(c, F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail")), "")
     chars = lambda c: F.filter(cut(F.col(c)), lambda s: s != "")
-    return both.select("a", "b", chars("x").alias("x"), chars("y").alias("y")).where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    # written once: the filter below would else carry these expressions into every step of its fold
+    rest = stored(both.select("a", "b", chars("x").alias("x"), chars("y").alias("y")), "candidates")
+    return rest.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
