@@ -19,7 +19,7 @@ from .common import BROADCAST_ROWS, stored
 #: distinct terms) / LEAST terms, however large the corpus is.
 LEAST, MOST = 1 / 2000, 1 / 5
 #: Subsets: for each chain of hash bits, the terms whose first k bits are 0, for each k of DEPTHS.
-CHAINS, BITS, DEPTHS = 10, 12, (3, 5, 6, 7, 8, 9, 10, 11)
+CHAINS, BITS, DEPTHS = 8, 12, (3, 5, 6, 7, 8, 9, 10, 11)
 #: Subsets that a likeness is taken from.
 SAMPLES = 16
 #: Rows per bucket of the neighbour search, and most buckets.
@@ -29,7 +29,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct words of a text, lower-cased."""
-    split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
+    split = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
     return F.array_distinct(F.transform(split, lambda w: F.xxhash64(w)))
 
 
@@ -40,24 +40,19 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
     return stored(df.where((F.col("count") >= least * n) & (F.col("count") <= max(1.0, most * n))).select("term"), "lexicon")
 
 
-def subset_hashes(sorted_terms: Column, everything: Column) -> Column:
+def subset_hashes(sorted_terms: Column, again: Column, everything: Column) -> Column:
     """One 24-bit hash for each random subset, smallest subsets first, and for the lexicon as a whole (of all
-    terms, if it has none of them); -1 where the document has no term in a subset."""
+    terms, if it has none of them); -1 where the document has no term in a subset. again: a second hash of
+    each of the sorted terms."""
     short = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("int")
     by_depth: dict[int, list[Column]] = {k: [] for k in DEPTHS}
-    def zeros(chain: int, k: int):
-        """Whether the first k of the chain's BITS bits are 0; five chains share one hash of the term."""
+    def zeros(shift: int, k: int):
+        return lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << k) - 1)) == 0
 
-        def test(t: Column) -> Column:
-            word = t if chain < 5 else F.xxhash64(t, F.lit(chain // 5))
-            return F.shiftright(word, BITS * (chain % 5)).bitwiseAND(F.lit((1 << k) - 1)) == 0
-
-        return test
-
-    for chain in range(CHAINS):
-        part = sorted_terms
+    for chain in range(CHAINS):  # five chains share the bits of one hash of the term
+        part = sorted_terms if chain < 5 else again
         for k in DEPTHS:
-            part = F.filter(part, zeros(chain, k))
+            part = F.filter(part, zeros(BITS * (chain % 5), k))
             by_depth[k].append(F.when(F.size(part) > 0, short(part)).otherwise(F.lit(-1)))
     whole = F.when(F.size(sorted_terms) > 0, short(sorted_terms)).otherwise(F.pmod(everything, F.lit(1 << 24)).cast("int"))
     return F.array(*[h for k in reversed(DEPTHS) for h in by_depth[k]], whole)
@@ -114,7 +109,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     edited = F.concat(F.left(F.coalesce("text", F.lit("")), n - half), F.left(F.coalesce("next", F.lit("")), half))
     rows = rows.select("bucket", "rn", "ghost", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.select("bucket", "rn", "ghost", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), terms(F.col("text")).alias("a"), F.when(F.col("ghost") == 0, terms(F.col("edited"))).otherwise(F.array().cast("array<bigint>")).alias("b"))
-    whole = lambda c: F.xxhash64(F.array_sort(c))
+    whole = lambda c: F.xxhash64(F.sort_array(c))
     entry = lambda k: lambda t: F.struct(t.alias("term"), F.lit(k).alias("of"))
     head = F.struct("ghost", "doc_id", "n_chars", "sha", whole("a").alias("all_a"), whole("b").alias("all_b"))
     # one row without a term carries the document's own values
@@ -122,8 +117,10 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     rows = rows.select("bucket", "rn", head.alias("head"), F.explode(F.concat(first, F.transform("a", entry(1)), F.transform("b", entry(2)))).alias("t"))
     rows = rows.select("bucket", "rn", "t.term", "t.of", F.when(F.col("t.of") == 0, F.col("head")).alias("head"))
     kept = rows.join(words.withColumn("known", F.lit(1)), "term", "left").where("of = 0 or known = 1")
-    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("of") == k, F.col("term"))))
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("of") == k, F.col("term"))))
     sets = kept.groupBy("bucket", "rn").agg(F.first("head", ignorenulls=True).alias("h"), of(1).alias("a"), of(2).alias("b"))
-    out = sets.select("bucket", "rn", "h.*", subset_hashes(F.col("a"), F.col("h.all_a")).alias("fa"), subset_hashes(F.col("b"), F.col("h.all_b")).alias("fb"))
+    twice = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    sets = sets.select("bucket", "rn", "h", "a", "b", twice("a").alias("a2"), twice("b").alias("b2"))
+    out = sets.select("bucket", "rn", "h.*", subset_hashes(F.col("a"), F.col("a2"), F.col("h.all_a")).alias("fa"), subset_hashes(F.col("b"), F.col("b2"), F.col("h.all_b")).alias("fb"))
     out = out.withColumn("fn", F.lead("fa").over(Window.partitionBy("bucket").orderBy("rn"))).where("ghost = 0")
     return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("fa")).alias("fingerprint"), as_text(F.col("fb")).alias("edited_fingerprint"), likeness(F.col("fa"), F.col("fb")).alias("near_edited"), likeness(F.col("fa"), F.col("fn")).alias("near_next"))
