@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
     "latest_decision": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) r from events) where r=1",
     "decision_overlay": f"""with c as ({_CHECKS}), a as (select user_id, check_id, arg_min(status,event_id) status from c group by 1,2), b as (select user_id, check_id, status decided from (select *, row_number() over (partition by user_id, check_id order by ts desc, event_id desc) r from c) where r=1 and status<>'PASS')
  select a.user_id, a.check_id, a.status, coalesce(decided,a.status) as final, coalesce(decided<>a.status,false) overridden from a left join b on a.user_id=b.user_id and a.check_id=b.check_id""",
-    "matter_revision": "with f as (select user_id%40 matter, user_id review, min(ts) "first_at" from events group by 1,2) select matter, review, row_number() over (partition by matter order by first_at, review) revision from f",
+    "matter_revision": "with f as (select user_id%40 matter, user_id review, min(ts) first_at from events group by 1,2) select matter, review, row_number() over (partition by matter order by first_at, review) revision from f",
     "identity_keys": f"""with c as (select c_custkey as key, {_WORDS.format(c="c_mktsegment")} scope, c_name, c_nationkey from customer),
  k as (select key, scope, 'order' kind, {_WORDS.format(c="c_name")} v from c where key%3=0 union all select key, scope, 'parcel', c_nationkey::varchar from c where key%4=0 union all select key, scope, 'packet', key::varchar from c where key%3<>0 and key%4<>0)
  select key, kind, kind||'_'||substr(sha256(scope||'|'||kind||'|'||v),1,32) as identity from k""",
