@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, lines, mixing, neighbours, quality, shingles, toxicity
+from . import bpe, fingerprints, language_model, lines, mixing, neighbours, pii, quality, shingles, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_model": op5_language_model,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
