@@ -75,10 +75,10 @@ ORACLES: dict[str, str] = {
     "low_text_budget": f"select packet, page, row_number() over (partition by packet order by page) turn, row_number() over (partition by packet order by page)<=3 allowed from ({_DOC}) where char_count<600",
     "run_sheet_segment": rf"""with p as (select packet, row_number() over (partition by packet order by page) page, text from ({_DOC})),
  f as (select *, regexp_matches(text,'(?i)\bthe\b') s, (regexp_matches(text,'(?i)\bthe\b') or contains(text,'|') or regexp_matches(text,'(?i)license')) hit, regexp_matches(text,'(?i)license') div from p where page<=8),
- g as (select *, min(case when s then page end) over (partition by packet) seed from f), h as (select *, row_number() over (partition by packet order by page) at from g where seed<=3 and page>=seed),
- i as (select *, at-coalesce(max(case when hit then at end) over (partition by packet order by page rows between unbounded preceding and current row),0) misses from h),
+ g as (select *, min(case when s then page end) over (partition by packet) seed from f), h as (select *, row_number() over (partition by packet order by page) nth from g where seed<=3 and page>=seed),
+ i as (select *, nth-coalesce(max(case when hit then nth end) over (partition by packet order by page rows between unbounded preceding and current row),0) misses from h),
  j as (select *, coalesce(max((div or misses>=2)::int) over (partition by packet order by page rows between unbounded preceding and 1 preceding),0) done from i),
- k as (select *, coalesce(max(case when done=0 and hit then page end) over (partition by packet),seed) last from j) select packet, page from k where page<=last""",
+ k as (select *, coalesce(max(case when done=0 and hit then page end) over (partition by packet),seed) fin from j) select packet, page from k where page<=fin""",
     "shard_pack": f"""with recursive d as (select packet, page, char_count+150 size, row_number() over (partition by packet order by page) n from ({_DOC})),
  r(packet, n, shard, held, sz, out) as (select packet, n, 0, [page], [size], [{{'page':page,'shard':0}}] from d where n=1
  union all select d.packet, d.n, r.shard+f.full::int, case when f.full then list_concat(list_slice(r.held,greatest(len(r.held)-1,1),len(r.held)),[d.page]) else list_append(r.held,d.page) end,
