@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import FOLDS_LABELS, arrow, blocks, fold, fold_of, utf8, words
 
 #: Labelled training rows that may be read for fitting.
-SAMPLE = 20_000
+SAMPLE = 8_000
 MINED, COMMON = 128, 1024
 #: Lengths in bytes of the word beginnings that count as features beside whole words.
 PREFIXES = (5, 6, 7)
