@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow, stored
 
-PROJECTIONS, SEED = 64, 11
+PROJECTIONS, SEED = 40, 11
 #: Half-width of a window as a share of the radius, and how far under the expected collisions of a vector at
-#: the radius (in standard deviations) the threshold lies.
-HALF_WIDTH, SLACK = 0.5, 1.3
-GROWTH, ROUNDS = 1.12, 24
+#: the radius (in standard deviations) the threshold lies; then the first radius and the steps between radii.
+HALF_WIDTH, SLACK = 0.5, 1.0
+FIRST, GROWTH, ROUNDS = 0.75, 1.25, 12
 BLOCK, CHUNK = 16_384, 4096
 FOUND = "query_id long, vec_id long, score double"
 
@@ -60,10 +60,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, sq: np.ndarray, qids: np.ndarra
     # queries are brought to length `most`: that changes no order, and puts them on the vectors' sphere
     unit = q / np.sqrt((q**2).sum(1))[:, None]
     pq = unit @ a[:dim]
-    order = np.argsort(px, axis=0, kind="stable").astype(np.int32)
+    order = np.argsort(px, axis=0, kind="stable")
     ranked = np.take_along_axis(px, order, axis=0)
     order = np.ascontiguousarray(order.T)
-    radius = 0.35 * GROWTH ** np.arange(ROUNDS)
+    radius = FIRST * GROWTH ** np.arange(ROUNDS)
     radius = np.r_[radius[radius < 2], np.inf]
     bounds = np.stack([np.stack([np.searchsorted(ranked[:, j], pq[:, j] - HALF_WIDTH * r, "left") for r in radius], 1) for j in range(m)], 1)
     ends = np.stack([np.stack([np.searchsorted(ranked[:, j], pq[:, j] + HALF_WIDTH * r, "right") for r in radius], 1) for j in range(m)], 1)
