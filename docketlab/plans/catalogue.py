@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans.oracles import ORACLES
+from docketlab.plans import catalogue_review
+from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -396,3 +397,6 @@ QUERIES: dict[str, Query] = {
         citations_verified, batch_metrics, stage_order, export_rows, export_warnings, union_except_pages, scalar_keys, page_serializer,
     )
 }
+
+QUERIES |= catalogue_review.QUERIES
+ORACLES: dict[str, str] = _ORACLES | catalogue_review.ORACLES
