@@ -48,6 +48,12 @@ def semi(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash"), on, "left_semi")
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if it is counted under BROADCAST_ROWS; beyond that the
+    join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -4,7 +4,7 @@ A line goes when the same line, or one within EDITS edits, stands earlier in the
 number). Each distinct line is cut into EDITS + 1 segments: two lines within EDITS edits agree in one of
 them. Segments are indexed by their number, the line's length and a hash; a line probes, for each possible
 length of the other line and each segment, only the start positions where a matching segment can lie. What
-meets is sifted by a word-parity signature inside the join, and verified by a banded bit-parallel automaton
+meets is sifted by letter counts inside the join, and verified by a banded bit-parallel automaton
 over the part left after the common beginning and end.
 
 Lines under MIN_CHARS characters (headings, separators, blank lines) are never judged and stay.
@@ -15,53 +15,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, safe_key, stored
+from .common import BROADCAST_ROWS, NULL_ID, safe_key, sized, stored
 
 EDITS, MIN_CHARS = 2, 32
+#: Letters whose counts sift candidates; texts without them are sifted less, not wrongly.
+LETTERS = "etn"
 
 
-def segments(edits: int, length: Column) -> list[tuple[Column, Column]]:
-    """First position (from 1) and size of each of edits + 1 near-equal segments, the longer ones last."""
+def segment(i: Column, length: Column, edits: int) -> tuple[Column, Column]:
+    """First position (from 1) and size of segment i of edits + 1 near-equal ones, the longer ones last."""
     k = edits + 1
-    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(k):
-        size = base + F.when(F.lit(i) >= k - longer, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+    base, short = F.floor(length / k).cast("int"), k - (length % k)
+    return 1 + i * base + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
 
 
-def _key(i: int, length: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), text)
+def _key(i: Column, length: Column, line: Column, start: Column, size: Column) -> Column:
+    """Hash of a segment's number, its line's length and its bytes. Bytes of ASCII lines are cut out directly;
+    finding a character of other lines means walking there."""
+    ascii_only = F.octet_length(line) == F.length(line)
+    part = F.when(ascii_only, F.substring(line.cast("binary"), start, size)).otherwise(F.substring(line, start, size).cast("binary"))
+    return F.xxhash64(i, length.cast("int"), part)
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The line's own segment keys, one per segment."""
-    return F.array(*[_key(i, length, F.substring(line, p, n)) for i, (p, n) in enumerate(segments(edits, length))])
+def indexed(rows: DataFrame, edits: int) -> DataFrame:
+    """h, c, key: each line's own segments. One row per segment first, so that the generated code stays small."""
+    each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)])).alias("i"))
+    start, size = segment(F.col("i"), F.col("n"), edits)
+    return each.select("h", "c", _key(F.col("i"), F.col("n"), F.col("line"), start, size).alias("key"))
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """Keys of all segments a shorter or equally long line within `edits` edits could share with this line.
+def probed(rows: DataFrame, edits: int) -> DataFrame:
+    """h, c, key: all segments a shorter or equally long line within `edits` edits could share with a line.
 
     With the other line shorter by d, segment i (from 0) can start at offset o from its own place only where
     |o| <= i and |o - d| <= edits - i: fewer edits lie before it than it has predecessors, and likewise after.
     """
-    keys = []
-    for d in range(edits + 1):
-        other = length - d
-        for i, (p, n) in enumerate(segments(edits, other)):
-            for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = p + o
-                fits = (at >= 1) & (at + n - 1 <= length)
-                keys.append(F.when(fits, _key(i, other, F.substring(line, at, n))))
-    return F.array_compact(F.array(*keys))
+    places = [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in places])).alias("t"))
+    other = F.col("n") - F.col("t.d")
+    start, size = segment(F.col("t.i"), other, edits)
+    at = start + F.col("t.o")
+    fits = (at >= 1) & (at + size - 1 <= F.col("n"))
+    return each.where(fits).select("h", "c", _key(F.col("t.i"), other, F.col("line"), at, size).alias("key"))
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS occurs (at most 255), a byte each. An edit moves at most two of the counts by
+    one, so the counts of lines within k edits differ by at most 2k in sum."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        out = out + F.shiftleft(F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long"), 8 * k)
+    return out
 
 
-def word_parity(line: Column) -> Column:
-    """64 bits: bit b is the parity of the number of words whose hash falls on b. An edit touches at most
-    three words (it may split or join two), so lines within k edits differ in at most 3k bits."""
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))))
+def _alike(a: Column, b: Column, edits: int) -> Column:
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
+    off = F.abs(byte(a, 0) - byte(b, 0))
+    for k in range(1, len(LETTERS)):
+        off = off + F.abs(byte(a, k) - byte(b, k))
+    return off <= 2 * edits
 
 
 def _common(a: Column, b: Column, least: Column, end: bool) -> Column:
@@ -123,24 +135,27 @@ def first_places(docs: DataFrame, min_chars: int) -> DataFrame:
     return judged.groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("_k", "pos")).alias("at"), F.count("*").alias("n"))
 
 
-def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: hashes of distinct lines within `edits` edits, each unordered pair once.
+def distinct_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
+    """line, h, n of every distinct judged line, read at its first place. Only lines that occur more than once
+    have to be looked up; they are broadcast while they are few, so that texts need not move."""
+    repeated = sized(stored(firsts.where("n > 1").select("h", "at"), "repeated"))
+    every = _lines(docs).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    first = every.join(repeated, "h", "left").where(F.col("at").isNull() | (F.col("at") == F.struct("_k", "pos")))
+    return first.select("line", "h", F.length("line").alias("n"))
+
 
-    Every distinct line is read once, at its first place."""
-    places = firsts.groupBy(F.col("at._k").alias("_k")).agg(F.collect_set("at.pos").alias("places"))
-    first = docs.join(places.hint("shuffle_hash"), "_k").select(F.posexplode(F.split("text", "\n")).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
-    first = first.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
-    signed = first.select("line", "h", "n", word_parity(F.col("line")).alias("sig"))
-    index = signed.select("h", "sig", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key")).alias("i")
-    probe = signed.select("h", "sig", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key")).alias("p")
-    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & (F.bit_count(F.col("i.sig").bitwiseXOR(F.col("p.sig"))) <= 3 * edits))
+def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """a, b: hashes of distinct lines that share a segment and may be within `edits` edits, once each."""
+    signed = distinct_lines(docs, firsts, min_chars).select("line", "h", "n", letter_counts(F.col("line")).alias("c"))
+    index, probe = indexed(signed, edits).alias("i"), probed(signed, edits).alias("p")
+    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & _alike(F.col("i.c"), F.col("p.c"), edits))
     return met.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """The pairs whose lines really are within `edits` edits."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h").groupBy(F.col("at._k").alias("_k")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h")).alias("places"))
-    text = docs.join(wanted.hint("shuffle_hash"), "_k").select(F.split("text", "\n").alias("ls"), F.explode("places").alias("p")).select(F.col("p.h").alias("h"), F.element_at("ls", F.col("p.pos") + 1).alias("line")).dropDuplicates(["h"])
+    text = docs.join(sized(stored(wanted, "places")), "_k").select(F.split("text", "\n").alias("ls"), F.explode("places").alias("p")).select(F.col("p.h").alias("h"), F.element_at("ls", F.col("p.pos") + 1).alias("line")).dropDuplicates(["h"])
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     both = both.withColumn("least", F.least(F.length("x"), F.length("y")))
     both = both.withColumn("head", _common(F.col("x"), F.col("y"), F.col("least"), False))
@@ -159,17 +174,21 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     docs = docs.withColumn("_k", safe_key(F.col("doc_id")))
     text = docs.select("_k", "text")
     firsts = stored(first_places(text, min_chars), "lines")
-    pairs = stored(near_pairs(text, firsts, edits), "linepairs")
+    pairs = stored(near_pairs(text, firsts, edits, min_chars), "linepairs")
     near = verify(pairs, text, firsts, edits)
     place = firsts.select("h", "at")
     ends = near.join(place.select(F.col("h").alias("a"), F.col("at").alias("pa")), "a").join(place.select(F.col("h").alias("b"), F.col("at").alias("pb")), "b")
     later = stored(ends.where("pa <> pb").select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct(), "later")
     # lines to judge: those that occur twice, and those near an earlier one
     judged = firsts.join(later.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = sized(stored(judged, "judged"))
     here = _lines(text).where(F.length("line") >= min_chars).select("_k", "pos", F.xxhash64("line").alias("h"))
     gone = here.join(judged, "h").where(F.col("near") | (F.struct("_k", "pos") > F.col("at")))
     drops = gone.groupBy("_k").agg(F.collect_set(F.struct("pos", "h", "near")).alias("drops"))
-    return docs, drops
+    drops = stored(drops, "drops")
+    # a document's list is broadcast only while all lists together are few entries
+    few = (drops.agg(F.sum(F.size("drops"))).first()[0] or 0) <= BROADCAST_ROWS
+    return docs, F.broadcast(drops) if few else drops.hint("shuffle_hash")
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -181,7 +200,7 @@ def deduped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     """
     names = docs.columns
     keyed, drops = line_decisions(docs, edits, min_chars)
-    out = keyed.join(drops.select("_k", F.col("drops").alias("_drops")).hint("shuffle_hash"), "_k", "left")
+    out = keyed.join(drops.withColumnRenamed("drops", "_drops"), "_k", "left")
     lines = F.split("text", "\n")
     gone = F.coalesce(F.col("_drops"), F.array().cast("array<struct<pos:int,h:bigint,near:boolean>>"))
     mine = F.filter(gone, lambda d: (d["pos"] < F.size(lines)) & (F.xxhash64(F.get(lines, d["pos"])) == d["h"]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import FOLDS_LABELS, arrow, blocks, fold, fold_of, utf8, words
 
 #: Labelled training rows that may be read for fitting.
-SAMPLE = 8_000
+SAMPLE = 4_000
 MINED, COMMON = 128, 1024
 #: Lengths in bytes of the word beginnings that count as features beside whole words.
 PREFIXES = (5, 6, 7)
@@ -176,6 +176,11 @@ def fit(row: np.ndarray, h: np.ndarray, stats: np.ndarray, toxic: np.ndarray) ->
     if not n:
         hashes = np.unique(np.concatenate(list(fixed.values())))
         return Model(hashes, np.full(len(hashes), 4.0), np.zeros(3), -3.0)
+    # rare words go first, by a table of counts over hash slots, so that the exact counts stay small
+    slot = (h & np.uint64((1 << 21) - 1)).astype(np.int32)
+    often = np.bincount(slot, minlength=1 << 21)[slot] >= SUPPORT
+    row, h = row[often], h[often]
+    del slot, often
     vocab, inverse = np.unique(h, return_inverse=True)
     df = np.bincount(inverse, minlength=len(vocab))
     pos = np.bincount(inverse, weights=toxic[row], minlength=len(vocab))
@@ -228,7 +233,7 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> tuple[np.ndarray,
     joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
     got = joined.mapInArrow(run, "doc_id long, toxic int, words binary, a double, b double, c double").toArrow().sort_by("doc_id")
     sets = [np.frombuffer(w, np.uint64) for w in got.column("words").to_pylist()]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     stats = np.stack([got.column(c).to_numpy() for c in "abc"], 1) if len(sets) else np.zeros((0, 3))
     return row, np.concatenate(sets) if sets else np.zeros(0, np.uint64), stats, got.column("toxic").to_numpy().astype(float)
 
