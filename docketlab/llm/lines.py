@@ -19,7 +19,7 @@ from .common import BROADCAST_ROWS, NULL_ID, safe_key, sized, stored
 
 EDITS, MIN_CHARS = 2, 32
 #: Letters whose counts sift candidates; texts without them are sifted less, not wrongly.
-LETTERS = "etn"
+LETTERS = "etnaorhs"
 
 
 def segment(i: Column, length: Column, edits: int) -> tuple[Column, Column]:
@@ -37,26 +37,23 @@ def _key(i: Column, length: Column, line: Column, start: Column, size: Column) -
     return F.xxhash64(i, length.cast("int"), part)
 
 
-def indexed(rows: DataFrame, edits: int) -> DataFrame:
-    """h, c, key: each line's own segments. One row per segment first, so that the generated code stays small."""
-    each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)])).alias("i"))
-    start, size = segment(F.col("i"), F.col("n"), edits)
-    return each.select("h", "c", _key(F.col("i"), F.col("n"), F.col("line"), start, size).alias("key"))
-
-
-def probed(rows: DataFrame, edits: int) -> DataFrame:
-    """h, c, key: all segments a shorter or equally long line within `edits` edits could share with a line.
+def keyed(rows: DataFrame, edits: int) -> DataFrame:
+    """side, h, c, key of each line (line, h, n, c): on side 0 its own segments (the index), on side 1 all
+    segments that a shorter line within `edits` edits could share with it (the probes), on side 2 those of an
+    equally long one, which probes back.
 
     With the other line shorter by d, segment i (from 0) can start at offset o from its own place only where
     |o| <= i and |o - d| <= edits - i: fewer edits lie before it than it has predecessors, and likewise after.
+    One row per place comes first, so that the generated code for a key stays small.
     """
-    places = [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
-    each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in places])).alias("t"))
+    places = [(0, 0, i, 0) for i in range(edits + 1)]
+    places += [(1 if d else 2, d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("sdio", p, strict=True)]) for p in places])).alias("t"))
     other = F.col("n") - F.col("t.d")
     start, size = segment(F.col("t.i"), other, edits)
     at = start + F.col("t.o")
     fits = (at >= 1) & (at + size - 1 <= F.col("n"))
-    return each.where(fits).select("h", "c", _key(F.col("t.i"), other, F.col("line"), at, size).alias("key"))
+    return each.where(fits).select(F.col("t.s").alias("side"), "h", "c", _key(F.col("t.i"), other, F.col("line"), at, size).alias("key"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -147,8 +144,9 @@ def distinct_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFr
 def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b: hashes of distinct lines that share a segment and may be within `edits` edits, once each."""
     signed = distinct_lines(docs, firsts, min_chars).select("line", "h", "n", letter_counts(F.col("line")).alias("c"))
-    index, probe = indexed(signed, edits).alias("i"), probed(signed, edits).alias("p")
-    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & _alike(F.col("i.c"), F.col("p.c"), edits))
+    keys = stored(keyed(signed, edits), "keys")  # so that both sides come from one pass over the lines
+    index, probe = keys.where("side = 0").alias("i"), keys.where("side > 0").alias("p")
+    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & ((F.col("p.side") == 1) | (F.col("p.h") > F.col("i.h"))) & _alike(F.col("i.c"), F.col("p.c"), edits))
     return met.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct()
 
 
