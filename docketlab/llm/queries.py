@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, language_model, lines, mixing, neighbours, pii, quality, shingles, toxicity
 from .common import table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,4 +69,4 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
