@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow
+from .common import arrow, modest_batches
 
 #: Fixed values of the file format: the split pattern, the white space, and the printable stand-ins of bytes.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
@@ -178,6 +178,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no tokens. Rows that repeat are encoded alike; null ids stay null; other
     columns are not read. Surrogate code points cannot occur in Spark strings.
     """
+    modest_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,6 +63,17 @@ def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
+#: Rows of an Arrow batch: texts are long, and both sides of the pipe hold a batch.
+ARROW_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ARROW_ROWS, if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow, blocks, mix64, partitions, safe_key, semi, stored, utf8, words
+from .common import NULL_ID, arrow, blocks, mix64, modest_batches, partitions, safe_key, semi, stored, utf8, words
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -365,6 +365,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     Null, empty and blank texts have no shingles and stand alone. Repeated rows and equal texts get the same
     component. A null doc_id counts as the smallest long. Columns other than doc_id and text are not read.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(safe_key(docs["doc_id"]).alias("doc_id"), "text")
     members = stored(set_digests(docs, width), "sets")
     sets = stored(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("items").alias("items")), "classes")

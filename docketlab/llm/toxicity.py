@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDS_LABELS, arrow, blocks, fold, fold_of, utf8, words
+from .common import FOLDS_LABELS, arrow, blocks, fold, fold_of, modest_batches, utf8, words
 
 #: Labelled training rows that may be read for fitting.
 SAMPLE = 4_000
@@ -239,6 +239,7 @@ def _sample(docs: DataFrame, labels: DataFrame, size: int) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
+    modest_batches(docs.sparkSession)
     return fit(*_sample(docs, labels, size))
 
 
