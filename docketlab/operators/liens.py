@@ -72,12 +72,18 @@ def automatic_target(stack: DataFrame, summarized: Column) -> DataFrame:
     return agg.select("packet", target.alias("target"))
 
 
+def _with_target(stack: DataFrame, targets: DataFrame) -> DataFrame:
+    """stack with its packet's target, and the target's position if it is open and placed."""
+    out = stack.join(targets.select("packet", "target"), "packet", "left")
+    own = (F.col("lien") == F.col("target")) & (F.col("status") == "OPEN")
+    return out.withColumn("target_at", F.max(F.when(own, F.col("position"))).over(Window.partitionBy("packet")))
+
+
 def split_by_target(stack: DataFrame, targets: DataFrame) -> DataFrame:
     """packet, lien, side: open liens before (senior) and after (junior) the target's position."""
-    placed = stack.where((F.col("status") == "OPEN") & F.col("position").isNotNull())
-    own = placed.join(targets.select("packet", F.col("target").alias("lien")), ["packet", "lien"]).select("packet", F.col("position").alias("at"))
-    side = F.when(F.col("position") < F.col("at"), "senior").when(F.col("position") > F.col("at"), "junior").otherwise("target")
-    return placed.join(own, "packet").select("packet", "lien", side.alias("side"))
+    placed = _with_target(stack, targets).where((F.col("status") == "OPEN") & F.col("position").isNotNull() & F.col("target_at").isNotNull())
+    side = F.when(F.col("position") < F.col("target_at"), "senior").when(F.col("position") > F.col("target_at"), "junior").otherwise("target")
+    return placed.select("packet", "lien", side.alias("side"))
 
 
 def evidence_through(stack: DataFrame) -> DataFrame:
@@ -88,29 +94,23 @@ def evidence_through(stack: DataFrame) -> DataFrame:
 
 
 def requirements(stack: DataFrame, targets: DataFrame) -> DataFrame:
-    """packet, code, type, severity: the target rules, then one line per unknown, senior, junior and excepted lien."""
-    open_or_unknown = stack.where(F.col("status") != "RELEASED").select("packet").distinct()
-    have = targets.where(F.col("target").isNotNull())
-    mine = stack.join(have.select("packet", F.col("target").alias("lien")), ["packet", "lien"])
-    number = F.col("lien").cast("string")
-
-    def rule(df: DataFrame, code: Column | str, kind: str, severity: str) -> DataFrame:
-        return df.select("packet", (F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
-
-    sides = split_by_target(stack, have)
-    parts = [
-        rule(open_or_unknown.join(have, "packet", "left_anti"), "TARGET_LIEN_SELECTION", "EVIDENCE", "BLOCKING"),
-        rule(mine.where("position is null"), "TARGET_LIEN_POSITION", "PRIORITY_REVIEW", "BLOCKING"),
-        rule(mine.where("exception <> ''"), "PRIORITY_EXCEPTION_REVIEW", "PRIORITY_REVIEW", "REVIEW"),
-        rule(mine.where("basis = 'FIRST_IN_TIME' and confidence <> 'high'"), "FIRST_IN_TIME_CONFIDENCE", "PRIORITY_REVIEW", "REVIEW"),
-        rule(stack.where("status = 'UNKNOWN'"), F.concat(F.lit("LIEN_STATUS_"), number), "EVIDENCE", "REVIEW"),
-        rule(sides.where("side = 'senior'"), F.concat(F.lit("SENIOR_"), number), "PAYOFF_REVIEW", "REVIEW"),
-        rule(sides.where("side = 'junior'"), F.concat(F.lit("JUNIOR_"), number), "NOTICE_REVIEW", "REVIEW"),
-        rule(stack.where("status = 'OPEN' and exception <> ''").join(have.select("packet", F.col("target").alias("lien")), ["packet", "lien"], "left_anti"), F.concat(F.lit("STACK_EXCEPTION_"), number), "PRIORITY_REVIEW", "REVIEW"),
+    """packet, code, type, severity: the target rules, and one line per unknown, senior, junior and excepted lien.
+
+    Each row of the stack yields the rules it meets, so the stack is made once and shuffled once."""
+    c, number = F.col, F.col("lien").cast("string")
+    is_open, mine = c("status") == "OPEN", F.coalesce(c("lien") == c("target"), F.lit(False))
+    rules = [
+        (c("target").isNull() & (c("status") != "RELEASED"), F.lit("TARGET_LIEN_SELECTION"), "EVIDENCE", "BLOCKING"),
+        (mine & c("position").isNull(), F.lit("TARGET_LIEN_POSITION"), "PRIORITY_REVIEW", "BLOCKING"),
+        (mine & (c("exception") != ""), F.lit("PRIORITY_EXCEPTION_REVIEW"), "PRIORITY_REVIEW", "REVIEW"),
+        (mine & (c("basis") == "FIRST_IN_TIME") & (c("confidence") != "high"), F.lit("FIRST_IN_TIME_CONFIDENCE"), "PRIORITY_REVIEW", "REVIEW"),
+        (c("status") == "UNKNOWN", F.concat(F.lit("LIEN_STATUS_"), number), "EVIDENCE", "REVIEW"),
+        (is_open & (c("position") < c("target_at")), F.concat(F.lit("SENIOR_"), number), "PAYOFF_REVIEW", "REVIEW"),
+        (is_open & (c("position") > c("target_at")), F.concat(F.lit("JUNIOR_"), number), "NOTICE_REVIEW", "REVIEW"),
+        (is_open & (c("exception") != "") & ~mine, F.concat(F.lit("STACK_EXCEPTION_"), number), "PRIORITY_REVIEW", "REVIEW"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    met = F.array_compact(F.array(*[F.when(test, F.struct(code.alias("code"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"))) for test, code, kind, severity in rules]))
+    out = _with_target(stack, targets).select("packet", F.explode(met).alias("r")).select("packet", "r.*")
     return out.groupBy("packet", "code").agg(F.first("type").alias("type"), F.first("severity").alias("severity"))
 
 
