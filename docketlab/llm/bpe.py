@@ -28,7 +28,7 @@ BLANK = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Chunks a worker keeps; beyond it the cache starts anew (results do not depend on it).
-CACHE_ROWS, CACHE_CHARS = 700_000, 64
+CACHE_ROWS, CACHE_CHARS = 250_000, 64
 _IDS, _TEXT = itemgetter(0), itemgetter(1)
 NO_RANK = np.iinfo(np.int64).max
 

@@ -19,9 +19,7 @@ from .common import BROADCAST_ROWS, stored
 #: distinct terms) / LEAST terms, however large the corpus is.
 LEAST, MOST = 1 / 2000, 1 / 5
 #: Subsets: for each chain of hash bits, the terms whose first k bits are 0, for each k of DEPTHS.
-CHAINS, BITS, DEPTHS = 8, 12, (3, 5, 6, 7, 8, 9, 10, 11)
-#: Subsets that a likeness is taken from.
-SAMPLES = 16
+CHAINS, BITS, DEPTHS = 15, 12, (3, 5, 6, 7, 8, 9, 10, 11)
 #: Rows per bucket of the neighbour search, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 4096, 65_536
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -40,32 +38,40 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
     return stored(df.where((F.col("count") >= least * n) & (F.col("count") <= max(1.0, most * n))).select("term"), "lexicon")
 
 
-def subset_hashes(sorted_terms: Column, again: Column, everything: Column) -> Column:
+def _zeros(shift: int, k: int):
+    return lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << k) - 1)) == 0
+
+
+def _short(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("int")
+
+
+def chain_terms(hashes: list[Column]) -> list[Column]:
+    """For each chain the terms in its largest subset. Five chains share the bits of one hash of a term."""
+    return [F.filter(hashes[c // 5], _zeros(BITS * (c % 5), DEPTHS[0])) for c in range(CHAINS)]
+
+
+def subset_hashes(chains: list[Column], sorted_terms: Column, everything: Column) -> Column:
     """One 24-bit hash for each random subset, smallest subsets first, and for the lexicon as a whole (of all
-    terms, if it has none of them); -1 where the document has no term in a subset. again: a second hash of
-    each of the sorted terms."""
-    short = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("int")
-    by_depth: dict[int, list[Column]] = {k: [] for k in DEPTHS}
-    def zeros(shift: int, k: int):
-        return lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << k) - 1)) == 0
-
-    for chain in range(CHAINS):  # five chains share the bits of one hash of the term
-        part = sorted_terms if chain < 5 else again
-        for k in DEPTHS:
-            part = F.filter(part, zeros(BITS * (chain % 5), k))
-            by_depth[k].append(F.when(F.size(part) > 0, short(part)).otherwise(F.lit(-1)))
-    whole = F.when(F.size(sorted_terms) > 0, short(sorted_terms)).otherwise(F.pmod(everything, F.lit(1 << 24)).cast("int"))
-    return F.array(*[h for k in reversed(DEPTHS) for h in by_depth[k]], whole)
+    terms, if it has none of them); -1 where the document has no term in a subset."""
+    none = _short(F.array().cast("array<bigint>"))
+    of = lambda c, k: F.coalesce(F.nullif(_short(F.filter(chains[c], _zeros(BITS * (c % 5), k))), none), F.lit(-1))
+    whole = F.when(F.size(sorted_terms) > 0, _short(sorted_terms)).otherwise(F.pmod(everything, F.lit(1 << 24)).cast("int"))
+    return F.array(*[of(c, k) for k in reversed(DEPTHS) for c in range(CHAINS)], whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among the SAMPLES smallest subsets that either document has terms in (0 to 1).
+    """The share of chains (0 to 1) whose smallest subset that either document has terms in has equal hashes;
+    without any such subset, whether the hashes as a whole are equal.
 
-    Where such a subset holds one term of the two documents together, its hashes agree just if they share that
-    term: the share estimates the Jaccard likeness of their lexicon terms, and is 1 for equal texts."""
-    both = F.filter(F.zip_with(a, b, lambda x, y: F.when((x == -1) & (y == -1), 0).when(x == y, 1).otherwise(2)), lambda v: v > 0)
-    least = F.slice(both, 1, SAMPLES)
-    return F.size(F.filter(least, lambda v: v == 1)) / F.size(least)
+    Where that subset holds one term of the two documents together, its hashes agree just if they share that
+    term. Chains are independent, so the share estimates the Jaccard likeness of the documents' lexicon terms;
+    it is 1 for equal texts."""
+    both = F.zip_with(a, b, lambda x, y: F.when((x == -1) & (y == -1), 0).when(x == y, 1).otherwise(2))
+    chain = lambda c: F.get(F.filter(F.array(*[F.get(both, k * CHAINS + c) for k in range(len(DEPTHS))]), lambda v: v > 0), F.lit(0))
+    found = F.array_compact(F.array(*[chain(c) for c in range(CHAINS)]))
+    whole = (F.element_at(a, -1) == F.element_at(b, -1)).cast("double")
+    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda v: v == 1)) / F.size(found)).otherwise(whole)
 
 
 def as_text(hashes: Column) -> Column:
@@ -119,8 +125,12 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     kept = rows.join(words.withColumn("known", F.lit(1)), "term", "left").where("of = 0 or known = 1")
     of = lambda k: F.sort_array(F.collect_list(F.when(F.col("of") == k, F.col("term"))))
     sets = kept.groupBy("bucket", "rn").agg(F.first("head", ignorenulls=True).alias("h"), of(1).alias("a"), of(2).alias("b"))
-    twice = lambda c: F.transform(c, lambda t: F.xxhash64(t))
-    sets = sets.select("bucket", "rn", "h", "a", "b", twice("a").alias("a2"), twice("b").alias("b2"))
-    out = sets.select("bucket", "rn", "h.*", subset_hashes(F.col("a"), F.col("a2"), F.col("h.all_a")).alias("fa"), subset_hashes(F.col("b"), F.col("b2"), F.col("h.all_b")).alias("fb"))
+    more = lambda c, k: F.transform(c, lambda t: F.xxhash64(t, F.lit(k)))
+    sets = sets.select("bucket", "rn", "h", "a", "b", *[more(c, k).alias(f"{c}{k}") for c in "ab" for k in (2, 3)])
+    # each chain's terms are a column of their own, so that the subsets below do not filter all terms again
+    parts = {c: chain_terms([F.col(c), F.col(f"{c}2"), F.col(f"{c}3")]) for c in "ab"}
+    sets = sets.select("bucket", "rn", "h", "a", "b", *[p.alias(f"{c}_{i}") for c in "ab" for i, p in enumerate(parts[c])])
+    made = {c: subset_hashes([F.col(f"{c}_{i}") for i in range(CHAINS)], F.col(c), F.col(f"h.all_{c}")) for c in "ab"}
+    out = sets.select("bucket", "rn", "h.*", made["a"].alias("fa"), made["b"].alias("fb"))
     out = out.withColumn("fn", F.lead("fa").over(Window.partitionBy("bucket").orderBy("rn"))).where("ghost = 0")
     return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("fa")).alias("fingerprint"), as_text(F.col("fb")).alias("edited_fingerprint"), likeness(F.col("fa"), F.col("fb")).alias("near_edited"), likeness(F.col("fa"), F.col("fn")).alias("near_next"))
