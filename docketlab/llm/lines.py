@@ -38,16 +38,15 @@ def _key(i: Column, length: Column, line: Column, start: Column, size: Column) -
 
 
 def keyed(rows: DataFrame, edits: int) -> DataFrame:
-    """side, h, c, key of each line (line, h, n, c): on side 0 its own segments (the index), on side 1 all
-    segments that a shorter line within `edits` edits could share with it (the probes), on side 2 those of an
-    equally long one, which probes back.
+    """side, h, c, key of each line (line, h, n, c): on side 0 its own segments (the index), on side
+    1 + d all segments that a line shorter by d within `edits` edits could share with it (the probes).
 
     With the other line shorter by d, segment i (from 0) can start at offset o from its own place only where
     |o| <= i and |o - d| <= edits - i: fewer edits lie before it than it has predecessors, and likewise after.
     One row per place comes first, so that the generated code for a key stays small.
     """
     places = [(0, 0, i, 0) for i in range(edits + 1)]
-    places += [(1 if d else 2, d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    places += [(1 + d, d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
     each = rows.select("h", "c", "line", "n", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("sdio", p, strict=True)]) for p in places])).alias("t"))
     other = F.col("n") - F.col("t.d")
     start, size = segment(F.col("t.i"), other, edits)
@@ -65,12 +64,13 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
-def _alike(a: Column, b: Column, edits: int) -> Column:
+def _alike(a: Column, b: Column, edits: int, longer: Column) -> Column:
+    """Where b is longer by so many characters, as many edits only add one, and move one count by one."""
     byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))
     off = F.abs(byte(a, 0) - byte(b, 0))
     for k in range(1, len(LETTERS)):
         off = off + F.abs(byte(a, k) - byte(b, k))
-    return off <= 2 * edits
+    return off <= 2 * edits - longer
 
 
 def _common(a: Column, b: Column, least: Column, end: bool) -> Column:
@@ -146,7 +146,7 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
     signed = distinct_lines(docs, firsts, min_chars).select("line", "h", "n", letter_counts(F.col("line")).alias("c"))
     keys = stored(keyed(signed, edits), "keys")  # so that both sides come from one pass over the lines
     index, probe = keys.where("side = 0").alias("i"), keys.where("side > 0").alias("p")
-    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & ((F.col("p.side") == 1) | (F.col("p.h") > F.col("i.h"))) & _alike(F.col("i.c"), F.col("p.c"), edits))
+    met = index.join(probe, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & ((F.col("p.side") > 1) | (F.col("p.h") > F.col("i.h"))) & _alike(F.col("i.c"), F.col("p.c"), edits, F.col("p.side") - 1))
     return met.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct()
 
 
