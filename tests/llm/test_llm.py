@@ -275,6 +275,35 @@ def test_language_model_of_odd_rows(spark, odd, none):
     assert language_model.score_documents(none).count() == 0
 
 
+def test_language_model_keeps_every_run_that_occurs_twice(spark, docs, monkeypatch):
+    """In one block and in many, and in arrays where each run has its place."""
+    for small in (language_model.BLOCK, 20_000):
+        monkeypatch.setattr(language_model, "BLOCK", small)
+        path = bpe.default_path()
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")).repartition(2)
+        cells, parts, rounds = language_model.encoded(rows, path, 10**9)
+        assert rounds == 67 and parts > language_model.RUN_PARTS  # the sample and the parts grow with the words
+        vocab = max(bpe.coder(path).token) + 2
+        sub, want, held = language_model.Subwords(path), collections.Counter(), collections.Counter()
+        for r in rows.collect():
+            data = np.frombuffer(r.text.encode(), np.uint8)
+            ids = sub.encode(data, np.array([0, len(data)]))[0]
+            full = [vocab - 1, *ids.tolist(), vocab - 1]
+            (held if r.held else want).update(language_model.RUN2 + a * vocab + b for a, b in zip(full, full[1:]))
+            (held if r.held else want).update((a * vocab + b) * vocab + c for a, b, c in zip(full, full[1:], full[2:]))
+        got = {}
+        for r in language_model.answers(cells, vocab, parts).where("kind = 1").collect():
+            (keys, values), = language_model._answered([(r.a, r.b)])
+            got |= {int(k): int(v) for k, v in zip(keys, values[:, 0], strict=True)}
+        end = vocab - 1  # runs over the end between two texts depend on the texts' order and are never looked up
+        inside = {k: c for k, c in want.items() if c > 1}
+        assert len(inside) > 1000 and {k: c for k, c in got.items() if k in want} | inside == {k: c for k, c in got.items() if k in want}
+        assert all(c == got[k] for k, c in inside.items() if k >= language_model.RUN2)
+        assert all(k in want or (k // vocab) % vocab == end or k == language_model.RUN2 + end * vocab + end for k in got)
+    keys = np.unique(np.random.default_rng(3).integers(0, 10**15, 300_000))
+    assert (language_model.Runs(np.ones(10**5), keys, np.full(len(keys), 2.0)).find(keys) >= 0).all()
+
+
 def brute_components(texts, num=80, den=100):
     sets = {}
     for i, t in texts.items():
