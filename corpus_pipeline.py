@@ -15,9 +15,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier in the corpus, alike within two edits, are cut out of the texts, and n_chars
-    follows. A document that had lines and lost them all is a copy of earlier text and leaves."""
-    out = lines.deduped(docs)
+    """Lines that stand earlier in the corpus, the same or (of 32 characters or more) alike within two edits, are cut
+    out of the texts, and n_chars follows. Blank lines stay. A document that had lines and lost them all is a copy of earlier text and leaves."""
+    out = lines.deduped(docs, short=True)
     names = [F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.where(~((F.col("n_dropped") > 0) & F.col("emptied"))).select(*names)
 

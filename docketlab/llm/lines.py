@@ -7,7 +7,8 @@ length of the other line and each segment, only the start positions where a matc
 meets is sifted by letter counts inside the join, and verified by a banded bit-parallel automaton
 over the part left after the common beginning and end.
 
-Lines under MIN_CHARS characters (headings, separators, blank lines) are never judged and stay.
+Lines under MIN_CHARS characters are never near another. They stay unless `short` asks that those which are not
+blank go where the same line stands earlier.
 """
 
 from __future__ import annotations
@@ -126,9 +127,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("_k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def first_places(docs: DataFrame, min_chars: int) -> DataFrame:
+def _judged(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    whole = F.length("line") >= min_chars
+    return _lines(docs).where(whole | F.col("line").rlike(r"\S") if short else whole)
+
+
+def first_places(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """h (line hash), at (its first place: key and line number) and n (occurrences) of every judged line."""
-    judged = _lines(docs).where(F.length("line") >= min_chars)
+    judged = _judged(docs, min_chars, short)
     return judged.groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("_k", "pos")).alias("at"), F.count("*").alias("n"))
 
 
@@ -165,13 +171,13 @@ def verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, edits: int = ED
     return rest.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs with a key _k, and per key the lines that go: drops array<struct<pos, near>>.
 
     A line at its first place goes only if a near line's first place is earlier; elsewhere it always goes."""
     docs = docs.withColumn("_k", safe_key(F.col("doc_id")))
     text = docs.select("_k", "text")
-    firsts = stored(first_places(text, min_chars), "lines")
+    firsts = stored(first_places(text, min_chars, short), "lines")
     pairs = stored(near_pairs(text, firsts, edits, min_chars), "linepairs")
     near = verify(pairs, text, firsts, edits)
     place = firsts.select("h", "at")
@@ -180,7 +186,7 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     # lines to judge: those that occur twice, and those near an earlier one
     judged = firsts.join(later.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
     judged = sized(stored(judged, "judged"))
-    here = _lines(text).where(F.length("line") >= min_chars).select("_k", "pos", F.xxhash64("line").alias("h"))
+    here = _judged(text, min_chars, short).select("_k", "pos", F.xxhash64("line").alias("h"))
     gone = here.join(judged, "h").where(F.col("near") | (F.struct("_k", "pos") > F.col("at")))
     drops = gone.groupBy("_k").agg(F.collect_set(F.struct("pos", "h", "near")).alias("drops"))
     drops = stored(drops, "drops")
@@ -189,7 +195,7 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return docs, F.broadcast(drops) if few else drops.hint("shuffle_hash")
 
 
-def deduped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with text replaced, and n_lines, n_dropped, n_near (dropped for a line that is not the same).
 
     A null text stays null with 0 lines. Rows that share a doc_id hold one place: the same line at the same
@@ -197,7 +203,7 @@ def deduped(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     all others. Other columns pass through; clashing names are avoided by a reserved prefix.
     """
     names = docs.columns
-    keyed, drops = line_decisions(docs, edits, min_chars)
+    keyed, drops = line_decisions(docs, edits, min_chars, short)
     out = keyed.join(drops.withColumnRenamed("drops", "_drops"), "_k", "left")
     lines = F.split("text", "\n")
     gone = F.coalesce(F.col("_drops"), F.array().cast("array<struct<pos:int,h:bigint,near:boolean>>"))

@@ -143,6 +143,14 @@ def test_line_dedup_against_brute_force(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_pipeline_drops_repeats_of_short_lines(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "Menu\n\nfirst text of the page", 1), (2, "Menu\n\nMena\n  \nsecond", 1), (3, "Menu", 1), (4, "\n  \n", 1)]
+    got = p.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: (rows[0][1], 28), 2: ("\nMena\n  \nsecond", 15), 4: (rows[3][1], 4)}
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     got = lines.deduped(odd).collect()
     assert len(got) == odd.count() and {"_k", "h", "rank"} <= set(got[0].asDict())
