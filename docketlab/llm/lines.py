@@ -159,7 +159,9 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int = EDITS, min_chars
 def verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, edits: int = EDITS) -> DataFrame:
     """The pairs whose lines really are within `edits` edits."""
     wanted = pairs.select(F.col("a").alias("h")).distinct().union(pairs.select(F.col("b").alias("h")).distinct()).distinct().join(firsts, "h").groupBy(F.col("at._k").alias("_k")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h")).alias("places"))
-    text = docs.join(sized(stored(wanted, "places")), "_k").select(F.split("text", "\n").alias("ls"), F.explode("places").alias("p")).select(F.col("p.h").alias("h"), F.element_at("ls", F.col("p.pos") + 1).alias("line")).dropDuplicates(["h"])
+    text = docs.join(sized(stored(wanted, "places")), "_k").select(F.split("text", "\n").alias("ls"), F.explode("places").alias("p")).select(F.col("p.h").alias("h"), F.get("ls", F.col("p.pos")).alias("line"))
+    # rows that share a key have other lines at the place, or none
+    text = text.where(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"])
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     both = both.withColumn("least", F.least(F.length("x"), F.length("y")))
     both = both.withColumn("head", _common(F.col("x"), F.col("y"), F.col("least"), False))

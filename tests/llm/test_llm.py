@@ -151,6 +151,14 @@ def test_pipeline_drops_repeats_of_short_lines(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: (rows[0][1], 28), 2: ("\nMena\n  \nsecond", 15), 4: (rows[3][1], 4)}
 
 
+def test_near_lines_of_rows_that_share_an_id(spark):
+    a, b = "the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs today"
+    rows = [(None, f"x\n{a}"), (None, "only one line"), (None, f"x\n{'0' * 40}"), (3, f"y\n{b}"), (3, f"y\n{'1' * 40}"), (5, f"{a}!\n{b}!\nz")]
+    got = lines.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.text, r.n_near) for r in got if r.doc_id == 5] == [("z", 2)]
+    assert sorted(r.text for r in got if r.doc_id != 5) == sorted(t for i, t in rows if i != 5)
+
+
 def test_line_dedup_of_odd_rows(spark, odd, none):
     got = lines.deduped(odd).collect()
     assert len(got) == odd.count() and {"_k", "h", "rank"} <= set(got[0].asDict())
