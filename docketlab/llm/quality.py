@@ -11,6 +11,7 @@ Sizes on the driver: FEATURES squared sums, BINS counts; neither depends on the
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,7 +81,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         "line_length": np.log1p(chars / np.array([len(x) for x in lines])) if n else np.zeros(0),
         "short_lines": np.array([sum(len(y) < 30 for y in x) / len(x) for x in lines]),
         "distinct_lines": np.array([len(set(x)) / len(x) for x in lines]),
-        "top_line": np.array([max(map(x.count, set(x[:50]))) / len(x) for x in lines]) if n else np.zeros(0),
+        "top_line": np.array([max(Counter(x).values()) / len(x) for x in lines]) if n else np.zeros(0),
         "capitals": hist[:, 65:91].sum(1) / letters,
         "digits": hist[:, 48:58].sum(1) / chars,
         "marks": hist[:, [44, 46, 58, 59, 63]].sum(1) / per,

@@ -206,6 +206,12 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_top_line_is_sought_in_whole_texts():
+    text = "\n".join([f"line {i}" for i in range(60)] + ["repeated"] * 40).encode()
+    got = quality.statistics(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert got[0, quality.STATS.index("top_line")] == 0.4
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([0.0, 1.0, 0.5, 2.0]), np.ones(4)).tolist() == [0.0, 0.75, 0.75, 2.0]
 
