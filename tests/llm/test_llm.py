@@ -247,47 +247,78 @@ def test_language_model_base(spark, docs, texts):
         assert abs(base - r.base_score) < 1e-6 and math.isfinite(r.score) and r.score < 0
 
 
+def small_layer(vocab=50, seed=0):
+    rng = np.random.default_rng(seed)
+    ids, size = rng.integers(0, vocab - 1, 600), np.full(6, 100)
+    x, y, on, _ = language_model.windows(ids, size, vocab - 1)
+    return language_model.trained(language_model.initial(vocab, np.ones(vocab), rng), x, y, on, 6, 0.05, 1), rng
+
+
 def test_language_model_scores_each_id_once_and_only_looks_back():
-    rng = np.random.default_rng(0)
     vocab = 50
-    counts = np.ones(vocab)
-    runs = language_model.Runs(counts, np.zeros(0, np.int64), np.zeros(0))
-    pieces = [rng.integers(0, vocab - 1, 40) for _ in range(8)]
-    m = language_model.fit(pieces, counts, np.ones(vocab, bool), runs, steps=4)
-    t = m.tables()
+    layer, rng = small_layer(vocab)
+    of = lambda ids, size: layer.log10(*language_model.windows(ids, np.array(size), vocab - 1)[:3])
     ids = rng.integers(0, vocab - 1, 300)
-    lp = language_model.log10_ids(m, t, ids, np.array([100, 0, 200]))
+    lp = of(ids, [100, 0, 200])
     assert len(lp) == 303
     other = ids.copy()
     other[60:100] = rng.integers(0, vocab - 1, 40)
-    assert np.allclose(language_model.log10_ids(m, t, other, np.array([100, 0, 200]))[:60], lp[:60], atol=1e-6)
-    # the mixture is a distribution over the vocabulary
-    total = sum(10 ** language_model.log10_ids(m, t, np.array([3, 4, x]), np.array([3]))[2] for x in range(vocab - 1)) + 10 ** language_model.log10_ids(m, t, np.array([3, 4]), np.array([2]))[2]
+    assert np.allclose(of(other, [100, 0, 200])[:60], lp[:60], atol=1e-6)
+    # what follows two ids is a distribution over the vocabulary
+    total = sum(10 ** of(np.array([3, 4, x]), [3])[2] for x in range(vocab - 1)) + 10 ** of(np.array([3, 4]), [2])[2]
     assert abs(total - 1) < 1e-3
 
 
-def test_language_model_gradients():
-    rng = np.random.default_rng(1)
-    runs = language_model.Runs(np.ones(20), np.zeros(0, np.int64), np.zeros(0))
-    m = language_model.fit([rng.integers(0, 19, 30)], np.ones(20), np.arange(20) % 2 == 0, runs, steps=1)
-    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, y, on = rng.integers(0, 20, (2, 8)), rng.integers(0, 20, (2, 8)), np.ones((2, 8), bool)
-    seen = rng.uniform(0.01, 0.1, (2, 8, 2))
+def test_language_model_layer_against_plain_attention():
+    """The batched, windowed layer against one position at a time."""
+    vocab, back, step = 50, language_model.BACK, language_model.WINDOW - language_model.BACK
+    layer, rng = small_layer(vocab, 4)
+    ids = rng.integers(0, vocab - 1, 90)
+    got = layer.log10(*language_model.windows(ids, np.array([90]), vocab - 1)[:3])
+    p, seq, y = {k: v.astype(float) for k, v in layer.p.items()}, np.r_[vocab - 1, ids], np.r_[ids, vocab - 1]
+    for t in range(91):
+        first = max(0, -(-(t + 1 - language_model.WINDOW) // step)) * step
+        x = p["e"][seq[first : t + 1]] + p["pos"][: t + 1 - first]
+        s = np.exp((x[-1] @ p["wq"]) @ (x @ p["wk"]).T / np.sqrt(language_model.WIDTH))
+        h = np.maximum(s / s.sum() @ (x @ p["wv"]) + x[-1] @ p["wr"], 0)
+        z = np.exp(h @ p["o"] + p["b"])
+        assert t - first < language_model.WINDOW and (t - first >= back or first == 0)
+        assert abs(got[t] - math.log10(z / z.sum() @ layer.table[y[t]])) < 1e-4
+
+
+def test_language_model_inside_words():
+    rng = np.random.default_rng(2)
+    size = np.array([1, 3, 7, 40, 2])
+    ids = rng.integers(0, 49, size.sum())
+    begin = np.cumsum(size) - size
+    met = collections.Counter()
+    for source, target, scored, own in language_model.inside_windows(ids, size, 49):
+        for x, y, on, k in zip(source, target, scored, own, strict=True):
+            met.update((int(k), int(a), int(b)) for a, b in zip(x[on], y[on], strict=True))
+    want = collections.Counter()
+    for k, (i, n) in enumerate(zip(begin, size, strict=True)):
+        w = [*ids[i : i + n].tolist(), 49]
+        want.update((k, a, b) for a, b in zip(w, w[1:]))
+    assert met == want
 
-    def loss():
-        z, _ = m.gate(x, {k: v.astype(np.float64) for k, v in m.tables().items()}, on)
-        return -np.log((z * np.concatenate([m.table[y], seen], -1)).sum(-1)).mean()
 
-    grads, _ = language_model._gradients(m, x, y, on, seen)
-    for name in ("wq", "wv", "o", "e"):
+def test_language_model_gradients():
+    layer, rng = small_layer(20, 3)
+    layer.p = {k: v.astype(np.float64) for k, v in layer.p.items()}
+    x, y, on = rng.integers(0, 20, (2, 8)), rng.integers(0, 20, (2, 8)), np.ones((2, 8), bool)
+    loss = lambda: -layer.log10(x, y, on).mean() * np.log(10)
+    grads, _ = language_model._gradients(layer, x, y, on)
+    e = np.zeros_like(layer.p["e"])
+    np.add.at(e, x.ravel(), grads["e"].reshape(-1, e.shape[1]))
+    grads["e"] = e
+    for name in ("wq", "wv", "o", "e", "pos"):
         i = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
-        at = m.p[name][i]
-        m.p[name][i] = at + 1e-2
-        hi = loss()
-        m.p[name][i] = at - 1e-2
-        lo = loss()
-        m.p[name][i] = at
-        assert abs((hi - lo) / 2e-2 - grads[name][i]) < 0.05 * abs(grads[name][i]) + 1e-4
+        at, seen = layer.p[name][i], []
+        for step in (1e-2, -1e-2):
+            layer.p[name][i], layer._inputs = at + step, None
+            seen.append(loss())
+        layer.p[name][i] = at
+        assert abs((seen[0] - seen[1]) / 2e-2 - grads[name][i]) < 0.05 * abs(grads[name][i]) + 1e-4
 
 
 def test_language_model_of_odd_rows(spark, odd, none):
@@ -297,33 +328,40 @@ def test_language_model_of_odd_rows(spark, odd, none):
     assert language_model.score_documents(none).count() == 0
 
 
-def test_language_model_keeps_every_run_that_occurs_twice(spark, docs, monkeypatch):
-    """In one block and in many, and in arrays where each run has its place."""
-    for small in (language_model.BLOCK, 20_000):
-        monkeypatch.setattr(language_model, "BLOCK", small)
-        path = bpe.default_path()
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")).repartition(2)
-        cells, parts, rounds = language_model.encoded(rows, path, 10**9)
-        assert rounds == 67 and parts > language_model.RUN_PARTS  # the sample and the parts grow with the words
-        vocab = max(bpe.coder(path).token) + 2
-        sub, want, held = language_model.Subwords(path), collections.Counter(), collections.Counter()
-        for r in rows.collect():
-            data = np.frombuffer(r.text.encode(), np.uint8)
-            ids = sub.encode(data, np.array([0, len(data)]))[0]
-            full = [vocab - 1, *ids.tolist(), vocab - 1]
-            (held if r.held else want).update(language_model.RUN2 + a * vocab + b for a, b in zip(full, full[1:]))
-            (held if r.held else want).update((a * vocab + b) * vocab + c for a, b, c in zip(full, full[1:], full[2:]))
-        got = {}
-        for r in language_model.answers(cells, vocab, parts).where("kind = 1").collect():
-            (keys, values), = language_model._answered([(r.a, r.b)])
-            got |= {int(k): int(v) for k, v in zip(keys, values[:, 0], strict=True)}
-        end = vocab - 1  # runs over the end between two texts depend on the texts' order and are never looked up
-        inside = {k: c for k, c in want.items() if c > 1}
-        assert len(inside) > 1000 and {k: c for k, c in got.items() if k in want} | inside == {k: c for k, c in got.items() if k in want}
-        assert all(c == got[k] for k, c in inside.items() if k >= language_model.RUN2)
-        assert all(k in want or (k // vocab) % vocab == end or k == language_model.RUN2 + end * vocab + end for k in got)
-    keys = np.unique(np.random.default_rng(3).integers(0, 10**15, 300_000))
-    assert (language_model.Runs(np.ones(10**5), keys, np.full(len(keys), 2.0)).find(keys) >= 0).all()
+def test_language_model_memories_hold_all_training_texts(spark, docs, texts, monkeypatch):
+    """Word and chunk counts against brute force, in small blocks too."""
+    monkeypatch.setattr(language_model, "BLOCK", 5_000)
+    monkeypatch.setattr(language_model, "FLUSH", 3_000)
+    rows = docs.select("text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held")).repartition(3)
+    got = {(r.k, r.h % 2**64): r.c for r in language_model.memory_counts(rows).collect()}
+    want, train = collections.Counter(), [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    for t in train:
+        raw = t.encode()
+        h = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3]
+        want.update((0, int(x)) for x in h)
+        part = []
+        for k, x in enumerate(h):
+            part.append(int(x))
+            if int(mix64(np.array([x]))[0]) % language_model.CHUNK == 0 or k == len(h) - 1:
+                total = sum(int(v) for v in mix64(np.array(part, np.uint64) ^ (np.arange(1, len(part) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))) % 2**64
+                want[(1, int(mix64(np.array([(2 * total + (k == len(h) - 1)) % 2**64], np.uint64))[0]))] += 1
+                part = []
+        if not len(h):
+            want[(1, int(mix64(np.ones(1, np.uint64))[0]))] += 1
+    want[(2, 0)] = len(train)
+    assert got == dict(want)
+
+
+def test_language_model_knows_passages_that_stand_elsewhere(spark):
+    random.seed(8)
+    text = lambda: " ".join("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(150))
+    twice, rows = [text() for _ in range(10)], []
+    for k in range(60):
+        rows.append((k, twice[k] if k < 10 else twice[k - 10] + " tail" if k < 20 else text()))
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [k for k in range(60) if zlib.crc32(str(k).encode()) % 10]
+    both = [k for k in range(10) if k in train and k + 10 in train]
+    assert max(got[k] for k in range(20, 60)) < min(got[k] for k in both) - 1
 
 
 def brute_components(texts, num=80, den=100):
