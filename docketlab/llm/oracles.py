@@ -10,8 +10,8 @@ MIXING = """with s as (select doc_id, source, coalesce(len(regexp_extract_all(te
  select doc_id, size, source_size, target, (size*(passes + case when need<=0 or upto-own>=need then 0 when upto<need then 1 when upto-need<=need-(upto-own) then 1 else 0 end))::bigint taken from c"""
 
 LINES = """with l as (select doc_id, unnest(string_split(text,chr(10))) line, generate_subscripts(string_split(text,chr(10)),1) pos from documents),
- f as (select line, min((doc_id,pos)) first, length(line) n from l where length(line)>=32 group by line),
- near as (select distinct a.line from f a join f b on a.n between b.n-2 and b.n+2 and b.first<a.first and levenshtein(a.line,b.line)<=2),
+ f as (select line, min((doc_id,pos)) first, length(line) n from l where regexp_matches(line,'[^\\x20\\x09-\\x0D]') group by line),
+ near as (select distinct a.line from f a join f b on a.n>=32 and b.n>=32 and a.n between b.n-2 and b.n+2 and b.first<a.first and levenshtein(a.line,b.line)<=2),
  d as (select l.*, near.line is not null is_near, coalesce(near.line is not null or (doc_id,pos)>f.first,false) gone from l left join f on l.line=f.line left join near on l.line=near.line)
  select doc_id, count(*)::int n_lines, sum(gone::int)::int n_dropped, sum((gone and is_near)::int)::int n_near, length(coalesce(string_agg(line,chr(10) order by pos) filter (not gone),''))::bigint kept_chars, sha256(coalesce(string_agg(line,chr(10) order by pos) filter (not gone),'')) kept_sha256 from d group by doc_id"""
 

@@ -134,11 +134,10 @@ def test_line_dedup_against_brute_force(spark):
     first = {}
     for i, t in rows:
         for j, ln in enumerate(t.split("\n")):
-            if len(ln) >= lines.MIN_CHARS:
-                first.setdefault(ln, (i, j))
-    near = {a for a in first for b in first if first[b] < first[a] and levenshtein(a, b) <= lines.EDITS}
+            first.setdefault(ln, (i, j))
+    near = {a for a in first for b in first if first[b] < first[a] and min(len(a), len(b)) >= lines.MIN_CHARS and levenshtein(a, b) <= lines.EDITS}
     assert len(near) > 5
-    want = {i: "\n".join(ln for j, ln in enumerate(t.split("\n")) if not (len(ln) >= lines.MIN_CHARS and (ln in near or first[ln] != (i, j)))) for i, t in rows}
+    want = {i: "\n".join(ln for j, ln in enumerate(t.split("\n")) if not (ln in near or first[ln] != (i, j))) for i, t in rows}
     got = lines.deduped(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == want
 
@@ -161,7 +160,10 @@ def test_near_lines_of_rows_that_share_an_id(spark):
 
 def test_line_dedup_of_odd_rows(spark, odd, none):
     got = lines.deduped(odd).collect()
-    assert len(got) == odd.count() and {"_k", "h", "rank"} <= set(got[0].asDict())
+    assert len(got) == odd.count() and all((r._k, r.h, r.rank, r.lang) == ("x", 1, 2, None) for r in got)
+    again = lines.deduped(odd.select("doc_id", "text", F.lit(9).alias("n_lines"), F.lit("a").alias("drops"), F.lit("b").alias("_row"), F.lit("c").alias("a.b")))
+    assert again.columns[2:] == ["drops", "_row", "a.b", "n_lines", "n_dropped", "n_near", "emptied"]
+    assert {(r.drops, r["_row"], r["a.b"]) for r in again.collect()} == {("a", "b", "c")}
     by = {r.doc_id: r for r in got if r.doc_id}
     assert by[1].text is None and by[2].text == "" and by[5].text and by[6].text == "" and by[6].emptied
     assert lines.deduped(none).count() == 0
