@@ -27,10 +27,13 @@ ORDER_TYPES = [
 #: Statuses of a recorded interest. Word boundaries keep "unreleased" and "unpaid" open.
 RELEASED_STATUS = "(?i)\\b(?:released?|satisf\\w*|paid|closed|terminated|reconveyed|discharged|cancelled)\\b"
 OPEN_STATUS = "(?i)\\b(?:open|active|unreleased|outstanding|unsatisfied|unpaid|affect(?:s|ing)? title)\\b"
+#: Captions that make an instrument a security lien, release one, follow from one, convey, or lien otherwise.
 SECURITY = "(?i)mortgage|deed of trust|security deed"
-RELEASE = "(?i)release|satisfaction|reconveyance|discharge|termination"
-DERIVATIVE = "(?i)assignment|modification|subordination|appointment|substitution"
-OTHER_LIEN = "(?i)judgment|mechanic|construction lien|association lien|assessment lien|ucc|tax lien|\\blien\\b"
+RELEASE = "(?i)release|satisfaction|reconveyance|discharge|termination|cancel(?:led|lation)?"
+DERIVATIVE = "(?i)assignment|modification|amendment|extension|renewal|subordination agreement|appointment|substitute trustee|substitution of trustee|trustee appointment|notice of default|notice of trustee(?:'s)? sale|notice of sale|foreclosure notice|corrective|correction|forbearance"
+CONVEYANCE = "(?i)\\b(?:special warranty|general warranty|warranty|grant|quitclaim|quit claim|bargain(?: and| &) sale|trustee'?s?|sheriff'?s?|tax|executor'?s?|administrator'?s?)?\\s*deed\\b"
+OTHER_LIEN = "(?i)judgment|notice and statement of lien|mechanic(?:'s)? lien|construction lien|hoa lien|association lien|assessment lien|ucc(?: financing statement)?|federal tax lien|tax lien|\\blien\\b"
+#: Captions of priority exceptions, by kind.
 EXCEPTIONS = [
     ("TAX", "(?i)federal tax|\\birs\\b|tax lien"),
     ("MECHANIC", "(?i)mechanic|construction"),

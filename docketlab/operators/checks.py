@@ -13,7 +13,7 @@ PASS, FAIL, CC, NA = "PASS", "FAIL", "CANNOT_CONFIRM", "NOT_APPLICABLE"
 
 def negative(value: Column) -> Column:
     """A stated no. A word boundary follows, so names that begin with these letters are none."""
-    return F.lower(F.coalesce(value, F.lit(""))).rlike("^\\s*(?:no|none|n/a|not found)\\b")
+    return F.lower(F.coalesce(value, F.lit(""))).rlike("^\\s*(?:no|none|not applicable|n/a|not found)\\b")
 
 
 def _answer(cond: Column, yes: str = PASS, no: str = CC) -> Column:
@@ -29,44 +29,46 @@ def _reconciled(prefix: str) -> Column:
 def check_columns() -> dict[str, Column]:
     """Each check as one expression over a packet's wide row (see WIDE)."""
     c = F.col
-    second, current = F.lower("order_type") == "2nd lien", F.lower("order_type") == "current owner search"
-    answered = lambda n: (c(f"{n}_state") == "CONFIRMED") & ~T.is_missing(c(n))
+    second, current = [F.coalesce(F.lower(F.trim("order_type")), F.lit("")) == k for k in ("2nd lien", "current owner search")]
+    # an answer such as n/a is one; only the placeholder is not
+    stated = lambda n: F.coalesce(c(n) != T.NEEDS_REVIEW, F.lit(False))
+    answered = lambda n: (c(f"{n}_state") == "CONFIRMED") & stated(n)
     return {
         "CURRENT_OWNER_ESTABLISHED": _answer(c("owner_state") == "CONFIRMED"),
         "PRIOR_OWNER_ESTABLISHED": F.when(current, CC).otherwise(_answer(c("deeds") >= 2)),
         "OWNERSHIP_CHAIN_COMPLETE": F.when(current | c("chain").isNull(), CC).when(c("chain"), PASS).otherwise(FAIL),
         "TARGET_LIEN_FOUND": _answer(c("target").isNotNull() & ~c("selection_required")),
-        "TARGET_LIEN_AMOUNT": _answer(c("target").isNotNull() & (c("target_amount_state") == "CONFIRMED")),
+        "TARGET_LIEN_AMOUNT": _answer(c("target").isNotNull() & answered("target_amount")),
         "TARGET_LIEN_POSITION_ESTABLISHED": _answer(c("target_position_state").isin("CONFIRMED", "EXAMINER_CONFIRMED")),
         "HOA_STATUS_REVIEWED": F.when(second, NA).otherwise(_answer(answered("hoa"))),
         "CCRS_REVIEWED": F.when(second, NA).otherwise(_answer(answered("ccrs"))),
-        "HOA_NAME_AMOUNTS_REVIEWED": F.when(second | negative(c("hoa")), NA).otherwise(_answer(c("hoa_detail"))),
-        "DEED_MORTGAGE_ACCURACY": F.when((c("summary_pairs") == 0) | (c("summary_missing") > 0), CC).when(c("amount_or_party_mismatch") > 0, FAIL).otherwise(PASS),
+        "HOA_NAME_AMOUNTS_REVIEWED": F.when(second | (answered("hoa") & negative(c("hoa"))), NA).otherwise(_answer(c("hoa_detail"))),
+        "DEED_MORTGAGE_ACCURACY": F.when(~c("summary_detected") | (c("summary_pairs") == 0) | (c("summary_missing") > 0), CC).when(c("amount_or_party_mismatch") > 0, FAIL).otherwise(PASS),
         "RECORDED_DOCUMENTS_RECONCILE": _reconciled("summary"),
         "RECORDING_ORDER_RECONCILES": F.lit(CC),
         "ASSIGNMENT_CHAIN_COMPLETE": F.lit(CC),
         "LEGAL_DESCRIPTION_RECONCILES": _answer((c("legal_texts") >= 2) & (c("legal_keys") == 1)),
         "MERS_BENEFICIARY_REVIEWED": F.when(c("mortgages") == 0, NA).otherwise(_answer(answered("mers") | c("mers_party"))),
-        "FEDERAL_TAX_LIEN_REVIEWED": _answer(negative(c("federal_tax")), NA),
-        "RELEASES_RECONCILED": F.when(c("unknown_liens") > 0, CC).when(c("released_liens") > 0, PASS).otherwise(NA),
-        "PROPERTY_IDENTITY_RECONCILES": F.when(T.is_missing(c("report_address")) | T.is_missing(c("source_address")), CC).otherwise(_answer(T.address_key(c("report_address")) == T.address_key(c("source_address")), PASS, FAIL)),
+        "FEDERAL_TAX_LIEN_REVIEWED": _answer(answered("federal_tax") & negative(c("federal_tax")), NA),
+        "RELEASES_RECONCILED": F.when(c("unknown_liens") > 0, CC).when((c("released_liens") > 0) | (c("releases") > 0), PASS).otherwise(NA),
+        "PROPERTY_IDENTITY_RECONCILES": F.when(c("loan").isNull() | ~stated("report_address") | ~stated("source_address"), CC).otherwise(_answer(T.address_key(c("report_address")) == T.address_key(c("source_address")), PASS, FAIL)),
         "LOAN_DOCUMENT_TYPE_REVIEWED": _answer(c("loan").isNotNull()),
-        "LOAN_RECORDING_DATE_REVIEWED": _answer(c("loan").isNotNull() & ~T.is_missing(c("loan_recorded"))),
-        "LOAN_STATUS_REVIEWED": _answer(F.coalesce(c("loan_status"), F.lit("UNKNOWN")) != "UNKNOWN"),
+        "LOAN_RECORDING_DATE_REVIEWED": _answer(c("loan").isNotNull() & stated("loan_recorded")),
+        "LOAN_STATUS_REVIEWED": _answer(c("loan").isNotNull() & (F.coalesce(c("loan_status"), F.lit("UNKNOWN")) != "UNKNOWN")),
         "RECOURSE_REVIEWED": F.lit(NA),
         "MATERIAL_REPORT_ERRORS_REVIEWED": F.when((c("summary_mismatched") > 0) | (c("summary_omitted") > 0), FAIL).when((c("summary_missing") > 0) | ~c("summary_detected"), CC).otherwise(PASS),
         "PLAT_REQUIREMENT_REVIEWED": F.lit(CC),
-        "MIN_RUN_SHEET_REVIEWED": F.when((c("mortgages") == 0) | negative(c("mers")), NA).when(c("min_state") != "CONFIRMED", CC).otherwise(_answer(F.exists("min_pages", lambda p: p.between(c("page_start"), c("page_end"))))),
+        "MIN_RUN_SHEET_REVIEWED": F.when((c("mortgages") == 0) | (answered("mers") & negative(c("mers"))), NA).when(c("min_state") != "CONFIRMED", CC).otherwise(_answer(F.exists("min_pages", lambda p: p.between(c("page_start"), c("page_end"))))),
         "RUN_SHEET_RECONCILES": F.when(c("sheet_detected"), _reconciled("sheet")).otherwise(_reconciled("summary")),
     }
 
 
 #: The wide row of a packet that the checks read.
 WIDE = (
-    "packet string, order_type string, owner_state string, deeds int, chain boolean, target string, selection_required boolean, target_amount_state string,"
+    "packet string, order_type string, owner_state string, deeds int, chain boolean, target string, selection_required boolean, target_amount string, target_amount_state string,"
     " target_position_state string, hoa string, hoa_state string, ccrs string, ccrs_state string, hoa_detail boolean, summary_pairs int, summary_detected boolean,"
     " summary_mismatched int, summary_omitted int, summary_missing int, amount_or_party_mismatch int, legal_texts int, legal_keys int, mortgages int, mers string,"
-    " mers_state string, mers_party boolean, federal_tax string, unknown_liens int, released_liens int, report_address string, source_address string, loan string,"
+    " mers_state string, mers_party boolean, federal_tax string, federal_tax_state string, unknown_liens int, released_liens int, releases int, report_address string, source_address string, loan string,"
     " loan_recorded string, loan_status string, min_state string, min_pages array<int>, page_start int, page_end int, sheet_detected boolean, sheet_mismatched int,"
     " sheet_omitted int, sheet_missing int"
 )

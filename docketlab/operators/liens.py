@@ -11,8 +11,8 @@ from docketlab.functions import text as T
 
 def lien_class(kind: Column) -> Column:
     """SECURITY, OTHER or null (releases, derivative documents, conveyance deeds and the rest)."""
-    no = kind.rlike(D.RELEASE) | kind.rlike(D.DERIVATIVE)
-    return F.when(kind.isNull() | no, F.lit(None)).when(kind.rlike(D.SECURITY), "SECURITY").when(kind.rlike("(?i)\\bdeed\\b"), F.lit(None)).when(kind.rlike(D.OTHER_LIEN), "OTHER")
+    no = kind.rlike(D.RELEASE) | kind.rlike(D.DERIVATIVE) | T.is_missing(kind)
+    return F.when(kind.isNull() | no, F.lit(None)).when(kind.rlike(D.SECURITY), "SECURITY").when(kind.rlike(D.CONVEYANCE), F.lit(None)).when(kind.rlike(D.OTHER_LIEN), "OTHER")
 
 
 def lien_status(status: Column, released: Column, summarized: Column) -> Column:

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from docketlab.functions import text as T
 
 #: Words that carry no meaning in a question.
-STOP = "the and for are was were with that this from what which who whom how does did has have had any all can could should would about into there their they you your our".split()
+STOP = "the and for with from that this what where when does did was were are is has have had who why how can could would should into about title report packet document documents page".split()
 #: Roles that hold a lien, and roles that owe it.
 HOLDERS, DEBTORS = "(?i)beneficiary|mortgagee|lender|holder|creditor|claimant|lienor", "(?i)borrower|mortgagor|debtor|grantor|owner"
-#: Process rules of a state, as data: code, severity, whether it needs a junior lien, a federal lien.
-STATE_RULES = [("WA", "WA_DEFAULT_NOTICE", "INFO", False, False), ("WA", "WA_NOTICE_OF_SALE", "INFO", False, False), ("WA", "WA_JUNIOR_NOTICE", "REVIEW", True, False), ("WA", "WA_FEDERAL_NOTICE", "REVIEW", False, True)]
+#: Process rules of a state, as data: code, severity, whether it needs interests to notify, a federal lien.
+STATE_RULES = [
+    ("WA", "WA_RC61_24_030_DEFAULT_NOTICE", "INFO", False, False),
+    ("WA", "WA_RC61_24_040_NOTICE_OF_SALE", "INFO", False, False),
+    ("WA", "WA_RC61_24_040_JUNIOR_NOTICE", "REVIEW", True, False),
+    ("WA", "FED_IRC7425_NONJUDICIAL_NOTICE", "REVIEW", False, True),
+]
 
 
 def holder(parties: Column) -> Column:
@@ -68,11 +73,16 @@ def state_code(state: Column) -> Column:
 
 
 def state_rules(reviews: DataFrame) -> DataFrame:
-    """review, code, severity from the rule table. reviews: review, state, juniors (long), federal (boolean)."""
-    table = reviews.sparkSession.createDataFrame(STATE_RULES, "state string, code string, severity string, needs_junior boolean, needs_federal boolean")
+    """review, code, severity from the rule table. reviews: review, state, juniors (long), federal (boolean), and
+    foreclosure (boolean: the order is confirmed as one), target (its lien, or null), open (open liens, long).
+
+    Only foreclosures have process rules. Those to notify are the junior liens; while no target is known, nobody is
+    junior or senior, and all open liens are."""
+    table = reviews.sparkSession.createDataFrame(STATE_RULES, "state string, code string, severity string, needs_notice boolean, needs_federal boolean")
     own = reviews.withColumn("state", state_code(F.col("state")))
-    hit = (~F.col("needs_junior") | (F.col("juniors") > 0)) & (~F.col("needs_federal") | F.col("federal"))
-    return own.join(F.broadcast(table), "state").where(hit).select("review", "code", "severity")
+    notified = (F.col("juniors") > 0) | (F.col("target").isNull() & (F.col("open") > 0))
+    hit = (~F.col("needs_notice") | notified) & (~F.col("needs_federal") | F.col("federal"))
+    return own.where("foreclosure").join(F.broadcast(table), "state").where(hit).select("review", "code", "severity")
 
 
 def merged_requirements(rows: DataFrame) -> DataFrame:

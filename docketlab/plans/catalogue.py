@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans import catalogue_review
+from docketlab.plans import catalogue_checks, catalogue_review
 from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,7 +191,7 @@ def majority_string(spark, d):
 
 
 def best_fact_tie(spark, d):
-    e = _t(spark, d, "events").where("event_id % 5 = 0")
+    e = _t(spark, d, "events")
     return merge.best_fact(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.to_date("ts").alias("evidence"), (F.col("event_id") % 100 / 100).alias("confidence")))
 
 
@@ -201,7 +201,7 @@ def merge_instruments(spark, d):
 
 
 def fold_entries(spark, d):
-    rows = _t(spark, d, "conversations").where("turn < 6").select(F.col("conv_id").alias("packet"), F.col("turn").cast("int").alias("pos"), F.col("role").alias("key"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.substring("text", 1, 8)).alias("value"))
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("packet"), F.col("turn").cast("int").alias("pos"), F.col("role").alias("key"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text")).alias("value"))
     return merge.fold_entries(rows).select("packet", F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["key"], x["value"])), "|").alias("entries"))
 
 
@@ -275,7 +275,7 @@ def qc_issues(spark, d):
 
 
 def qc_readiness(spark, d):
-    return checks.readiness(checks.issues(_checks(spark, d).where("event_id % 11 = 0").withColumn("packet", F.col("user_id"))), "packet")
+    return checks.readiness(checks.issues(_checks(spark, d).withColumn("packet", F.col("user_id"))), "packet")
 
 
 def accuracy_areas(spark, d):
@@ -331,7 +331,7 @@ def graph_edges(spark, d):
 
 
 def graph_neighbours(spark, d):
-    seeds = _t(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("seed"))
+    seeds = _t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("seed"))
     return graph.neighbours(seeds, _edges(spark, d), 4)
 
 
@@ -383,7 +383,7 @@ def scalar_keys(spark, d):
 
 
 def page_serializer(spark, d):
-    return pages.serialized(_pages(spark, d), 100).select("packet", F.sha2("body", 256).alias("body"))
+    return pages.serialized(_pages(spark, d)).select("packet", F.sha2("body", 256).alias("body"))
 
 
 QUERIES: dict[str, Query] = {
@@ -398,5 +398,5 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-QUERIES |= catalogue_review.QUERIES
-ORACLES: dict[str, str] = _ORACLES | catalogue_review.ORACLES
+QUERIES |= catalogue_review.QUERIES | catalogue_checks.QUERIES
+ORACLES: dict[str, str] = _ORACLES | catalogue_review.ORACLES | catalogue_checks.ORACLES

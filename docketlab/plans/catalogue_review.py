@@ -30,7 +30,7 @@ def _questions(spark, d):
 
 
 def retrieve_checks(spark, d):
-    return review.top_matches(_questions(spark, d), _t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), "text"), 6)
+    return review.top_matches(_questions(spark, d), _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), 6)
 
 
 def retrieve_instruments(spark, d):
@@ -41,7 +41,7 @@ def retrieve_instruments(spark, d):
 def checker_resolutions(spark, d):
     e = _t(spark, d, "events")
     status = F.when(F.col("event_type") == "click", "PASS").when(F.col("event_type") == "error", "FAIL").when(F.col("event_type") == "view", "NOT_APPLICABLE").otherwise("MAYBE")
-    said = e.where("event_id % 7 = 0").select(F.col("event_id").alias("key"), status.alias("status"), F.when(F.col("user_id") % 3 > 0, F.array(F.col("user_id") % 20, F.col("user_id") % 9 + 10)).otherwise(F.array().cast("array<bigint>")).alias("evidence"))
+    said = e.select(F.col("event_id").alias("key"), status.alias("status"), F.when(F.col("user_id") % 3 > 0, F.array(F.col("user_id") % 20, F.col("user_id") % 9 + 10)).otherwise(F.array().cast("array<bigint>")).alias("evidence"))
     known = spark.range(18).select("id", (F.col("id") % 4 > 0).alias("verified"))
     return review.resolutions(said, known)
 
@@ -49,12 +49,12 @@ def checker_resolutions(spark, d):
 def confirm_all(spark, d):
     e = _t(spark, d, "events")
     own = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).select("user_id", "event_type", F.when(F.col("n") % 2 == 0, "PASS").otherwise("FAIL").alias("status"))
-    return review.confirm_all(own, e.where("event_id % 13 = 0"), ["user_id", "event_type"])
+    return review.confirm_all(own, e.where(F.col("value") > 90), ["user_id", "event_type"])
 
 
 def state_rules(spark, d):
     o = _t(spark, d, "orders")
-    own = o.select(F.col("o_orderkey").alias("review"), F.when(F.col("o_orderkey") % 3 == 0, " washington").when(F.col("o_orderkey") % 3 == 1, "wa").otherwise("TX").alias("state"), (F.col("o_orderkey") % 2).alias("juniors"), (F.col("o_orderkey") % 5 == 0).alias("federal"))
+    own = o.select(F.col("o_orderkey").alias("review"), F.when(F.col("o_orderkey") % 3 == 0, " washington").when(F.col("o_orderkey") % 3 == 1, "wa").otherwise("TX").alias("state"), (F.col("o_orderkey") % 2).alias("juniors"), (F.col("o_orderkey") % 5 == 0).alias("federal"), (F.col("o_custkey") % 3 > 0).alias("foreclosure"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey")).alias("target"), (F.col("o_custkey") % 7 - 3).alias("open"))
     return review.state_rules(own)
 
 
@@ -115,11 +115,11 @@ QUERIES = {f.__name__: f for f in (lien_holder, page_mentions, retrieve_checks,
 ORACLES = {
     "lien_holder": "with r as (select o_orderkey, ['Grantor','Lender','Trustee','Owner'][o_orderkey%4+1] a, ['Grantor','Lender','Trustee','Owner'][o_custkey%4+1] b from orders) select o_orderkey, case when a='Lender' then 'A' when b='Lender' then 'B' when a='Trustee' then 'A' when b='Trustee' then 'B' else 'Needs review' end holder from r",
     "page_mentions": r"select conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('see page #'||turn||' and Page '||(conv_id%7)||' '||text,'(?i)\bpage\s*#?\s*([0-9]{1,4})\b',1), lambda x: x::int))),',') pages from conversations",
-    "retrieve_checks": f"with {_ASKED}, w as (select conv_id id, unnest(list_distinct(string_split({_NORM.format(c='text')},' '))) t from conversations where turn=0), s as (select question, id, count(*) score from w join asked using(t) group by 1,2) select * from (select *, row_number() over (partition by question order by score desc, id) rank from s) where rank<=6",
+    "retrieve_checks": f"with {_ASKED}, w as (select conv_id*1000+turn id, unnest(list_distinct(string_split({_NORM.format(c='text')},' '))) t from conversations), s as (select question, id, count(*) score from w join asked using(t) group by 1,2) select * from (select *, row_number() over (partition by question order by score desc, id) rank from s) where rank<=6",
     "retrieve_instruments": f"with {_ASKED}, p as (select p_partkey id, p_name||case when p_partkey%50=0 then ' inin that with' else '' end txt from part), w as (select id, unnest(list_distinct(string_split({_NORM.format(c='txt')},' '))) t from p), s as (select question, id, count(*) score from w join asked using(t) group by 1,2), b as (select * from (select *, row_number() over (partition by question order by score desc, id) rank from s) where rank<=25) select question, id, score, rank from b union all select item_id, id, 0, rank from benchmark, (select id, row_number() over (order by id) rank from p qualify rank<=12) where item_id not in (select question from b)",
-    "checker_resolutions": "with s as (select event_id as key, case event_type when 'click' then 'PASS' when 'error' then 'FAIL' when 'view' then 'NOT_APPLICABLE' else 'MAYBE' end status, unnest(case when user_id%3>0 then [user_id%20, user_id%9+10] else [null] end) id from events where event_id%7=0), a as (select key, status, count(case when id<18 then 1 end) n, bool_and(coalesce(id<18 and id%4>0,false)) strong from s group by 1,2) select key, case when status='MAYBE' or (status in ('PASS','FAIL') and not (n>0 and strong)) then 'CANNOT_CONFIRM' else status end status, n from a",
-    "confirm_all": "select user_id, event_type, 'CONFIRM' decision from (select user_id, event_type from events group by 1,2 having count(*)%2=0) a where not exists (select 1 from events e where e.event_id%13=0 and e.user_id=a.user_id and e.event_type=a.event_type)",
-    "state_rules": "with o as (select o_orderkey review, o_orderkey%2 j, o_orderkey%5=0 f from orders where o_orderkey%3<2) select review, 'WA_DEFAULT_NOTICE' code, 'INFO' severity from o union all select review, 'WA_NOTICE_OF_SALE', 'INFO' from o union all select review, 'WA_JUNIOR_NOTICE', 'REVIEW' from o where j>0 union all select review, 'WA_FEDERAL_NOTICE', 'REVIEW' from o where f",
+    "checker_resolutions": "with s as (select event_id as key, case event_type when 'click' then 'PASS' when 'error' then 'FAIL' when 'view' then 'NOT_APPLICABLE' else 'MAYBE' end status, unnest(case when user_id%3>0 then [user_id%20, user_id%9+10] else [null] end) id from events), a as (select key, status, count(case when id<18 then 1 end) n, bool_and(coalesce(id<18 and id%4>0,false)) strong from s group by 1,2) select key, case when status='MAYBE' or (status in ('PASS','FAIL') and not (n>0 and strong)) then 'CANNOT_CONFIRM' else status end status, n from a",
+    "confirm_all": "select user_id, event_type, 'CONFIRM' decision from (select user_id, event_type from events group by 1,2 having count(*)%2=0) a where not exists (select 1 from events e where e.value>90 and e.user_id=a.user_id and e.event_type=a.event_type)",
+    "state_rules": "with o as (select o_orderkey review, o_orderkey%2>0 or (o_custkey%2=1 and o_custkey%7>3) j, o_orderkey%5=0 f from orders where o_orderkey%3<2 and o_custkey%3>0) select review, 'WA_RC61_24_030_DEFAULT_NOTICE' code, 'INFO' severity from o union all select review, 'WA_RC61_24_040_NOTICE_OF_SALE', 'INFO' from o union all select review, 'WA_RC61_24_040_JUNIOR_NOTICE', 'REVIEW' from o where j union all select review, 'FED_IRC7425_NONJUDICIAL_NOTICE', 'REVIEW' from o where f",
     "merged_requirements": "with r as (select l_orderkey review, l_returnflag code, l_linenumber::bigint*1000000+l_partkey pos, max(l_linestatus||l_suppkey) severity from lineitem group by 1,2,3) select review, code, arg_max(severity,pos) severity, min(pos) pos from r group by 1,2",
     "numbered_text": "with c as (select user_id, event_id%20+1 question, arg_max(event_type,event_id) status from events group by 1,2) select user_id, string_agg(question||'. '||status, ' | ' order by question) as text from c group by 1",
     "exceptions_text": "with e as (select user_id, event_id, event_type='error' bad, bool_or(event_type='error') over (partition by user_id) any_bad from events), k as (select user_id, event_id, row_number() over (partition by user_id order by event_id) r from e where bad=any_bad) select user_id, string_agg(event_id::varchar, '; ' order by event_id) as text from k where r<=3 group by 1",

@@ -95,13 +95,13 @@ ORACLES: dict[str, str] = {
     "evidence_state": f"with {_GROUND} select quote_id, case when {_WORDS.format(c='quote')} in {_MISSING} then 'NOT_STATED' when count(page_id)>0 then 'CONFIRMED' else 'UNCONFIRMED' end state, count(page_id) pages from q left join found using(quote_id) group by quote_id, quote",
     "dedup_anchors": f"select page, packet from (select page, packet, row_number() over (partition by {_NORM.format(c='text')} order by page) r from ({_DOC})) where r=1",
     "majority_string": f"select key, value, n from (select *, row_number() over (partition by key order by n desc, length(value) desc, pos) r from (select user_id as key, arg_min(event_type,event_id) as value, count(*) n, min(event_id) pos from events where {_WORDS.format(c='event_type')} not in {_MISSING} group by user_id, {_WORDS.format(c='event_type')})) where r=1",
-    "best_fact_tie": f"""with g as (select user_id as key, {_WORDS.format(c="event_type")} norm, min(event_type) as value, count(distinct cast(ts as date)) support, max((event_id%100)/100.0::double) conf from events where event_id%5=0 group by 1,2),
+    "best_fact_tie": f"""with g as (select user_id as key, {_WORDS.format(c="event_type")} norm, min(event_type) as value, count(distinct cast(ts as date)) support, max((event_id%100)/100.0::double) conf from events group by 1,2),
  r as (select *, row_number() over w r, lead(support) over w s2, lead(conf) over w c2 from g window w as (partition by key order by support desc, conf desc, norm))
  select key, case when s2=support and abs(c2-conf)<0.08::double then 'Needs review' else value end as value, support from r where r=1""",
     "merge_instruments": """with v as (select l_orderkey number, 'flag' f, l_returnflag v, l_linenumber p from lineitem union all select l_orderkey, 'qty', cast(cast(l_quantity as int) as varchar), l_linenumber from lineitem),
  b as (select number, f, v, row_number() over (partition by number, f order by count(*) desc, min(p), v desc) r from v group by 1,2,3)
  select number, max(case when f='flag' then v end) flag, max(case when f='qty' then v end) qty, any_value(n) n from b join (select l_orderkey number, count(*) n from lineitem group by 1) using(number) where r=1 group by 1""",
-    "fold_entries": """with r as (select conv_id packet, turn pos, role as key, case when turn%2=0 then '' else substr(text,1,8) end as value from conversations where turn<6),
+    "fold_entries": """with r as (select conv_id packet, turn pos, role as key, case when turn%2=0 then '' else text end as value from conversations),
  k as (select packet, key, min(pos) p, coalesce(arg_min(value,pos) filter (value<>''),'') as value from r group by 1,2) select packet, string_agg(key||':'||value,'|' order by p) entries from k group by 1""",
     "reconcile_amounts": f"with {_SUMS} select number, amount::varchar amount, source_amount::varchar source_amount, status from m",
     "reconcile_counts": f"with {_SUMS} select number%10 bucket, sum((status='MATCHED')::int)::bigint matched, sum((status='MISMATCHED')::int)::bigint mismatched, sum((status='SOURCE_MISSING')::int)::bigint missing from m group by 1",
@@ -114,7 +114,7 @@ ORACLES: dict[str, str] = {
     "checks_grounded": "select d.doc_id, case when quality is not null and n_chars<400 then 'CANNOT_CONFIRM' when quality=1 then 'PASS' when quality=0 then 'FAIL' else 'CANNOT_CONFIRM' end status from documents d left join labels l on d.doc_id=l.doc_id",
     "qc_reduce": f"select user_id, day::varchar as day, count(*) n, sum((status='FAIL')::int)::bigint failed, sum((status='CANNOT_CONFIRM')::int)::bigint unresolved, case when bool_or(status='CANNOT_CONFIRM') then 'REVIEW' when bool_or(status='FAIL') then 'FAIL' else 'PASS' end qc_status, case when bool_or(status<>'PASS') then 'Fail' else 'Pass' end pass_fail from ({_CHECKS}) group by user_id, day",
     "qc_issues": f"with checks as ({_CHECKS}), {_META}, {_ISSUES} select packet, code, severity, count(*) n from issues group by 1,2,3",
-    "qc_readiness": f"with checks as ({_CHECKS}), {_META}, {_ISSUES} select packet, case when bool_or(severity='BLOCKING' and not unresolved) then 'CURATIVE_REQUIRED' when bool_or(unresolved or severity='REVIEW') then 'REVIEW' else 'QC' end readiness from issues where event_id%11=0 group by 1",
+    "qc_readiness": f"with checks as ({_CHECKS}), {_META}, {_ISSUES} select packet, case when bool_or(severity='BLOCKING' and not unresolved) then 'CURATIVE_REQUIRED' when bool_or(unresolved or severity='REVIEW') then 'REVIEW' else 'QC' end readiness from issues group by 1",
     "accuracy_areas": f"""with checks as ({_CHECKS}), areas(area, check_id) as (values {{areas}})
  select user_id, day::varchar as day, area, case when bool_or(status='FAIL') then 'DISCREPANCIES' when bool_or(status='CANNOT_CONFIRM') then 'INCOMPLETE' when area='CHAIN' then 'COMPLETE' else 'ACCURATE' end status from checks join areas using(check_id) group by 1,2,3""",
     "integrity_guard": """with c as (select source packet, d.doc_id%40 check_id, case when quality=1 then 'PASS' else 'FAIL' end status, n_chars<900 bad from documents d join labels l on d.doc_id=l.doc_id)
@@ -128,7 +128,7 @@ ORACLES: dict[str, str] = {
  select key, kind, kind||'_'||substr(sha256(scope||'|'||kind||'|'||v),1,32) as identity from k""",
     "graph_nodes": "select 'c'||o_custkey id, 'party' as type, arg_max(o_orderpriority,o_orderkey) as label, string_agg(o_orderkey::varchar, ',' order by o_orderkey) evidence from orders group by 1 union all select 'o'||o_orderkey, 'instrument', o_orderstatus, '' from orders",
     "graph_edges": f"with {_EDGES} select src, dst, type, 'edge_'||substr(sha256(src||'|'||type||'|'||dst),1,20) id from e",
-    "graph_neighbours": f"with {_EDGES}, s as (select 'o'||o_orderkey seed from orders where o_orderkey%97=0), n as (select seed, dst other from s join e on seed=src union select seed, src from s join e on seed=dst) select * from (select seed, other, row_number() over (partition by seed order by other) n from n) where n<=4",
+    "graph_neighbours": f"with {_EDGES}, s as (select 'o'||o_orderkey seed from orders), n as (select seed, dst other from s join e on seed=src union select seed, src from s join e on seed=dst) select * from (select seed, other, row_number() over (partition by seed order by other) n from n) where n<=4",
     "retrieve_pages": f"""with t as (select item_id question, unnest(list_distinct(list_filter(string_split({_NORM.format(c="text")},' '), lambda x: length(x)>2))) t from benchmark),
  w as (select doc_id page, unnest(string_split({_NORM.format(c="text")},' ')) t from documents), h as (select page, t, count(*) n from w where t in (select t from t) group by 1,2),
  s as (select question, page, sum(least(n,5)*case when length(t)>7 then 2 else 1 end)::bigint score from h join t using(t) group by 1,2)
@@ -141,7 +141,7 @@ ORACLES: dict[str, str] = {
     "export_warnings": f"""with e as ({_EXPORT}), f as (select key, 'owner' field, owner v from e union all select key, 'position', position from e union all select key, 'amount', amount from e) select key, field, 'required field '||field||' is unresolved' message from f where {_WORDS.format(c="v")} in {_MISSING}""",
     "union_except_pages": f"select packet, coalesce(string_agg(page::varchar, ',' order by page) filter (char_count<600 or page%9=0),'') requested, coalesce(string_agg(page::varchar, ',' order by page) filter (page%9=0 and not char_count<600),'') left_over from ({_DOC}) group by 1",
     "scalar_keys": f"select o_orderkey as key, cast(cast(o_totalprice as decimal(18,2)) as varchar) money, strftime(o_orderdate,'%Y-%m-%d') as date, o_orderkey||{_NTH.format(n='o_orderkey')} nth, regexp_replace(upper(o_orderpriority),'[^A-Z0-9]+','','g') alnum, trim(regexp_replace(lower(o_orderpriority),'[^a-z0-9]+','-','g'),'-') slug from orders",
-    "page_serializer": f"select packet, sha256(string_agg('[Page '||page||']'||chr(10)||case when text='' then '[UNREADABLE]' else substr(text,1,100) end, chr(10)||chr(10) order by page)) body from ({_DOC}) group by 1",
+    "page_serializer": f"select packet, sha256(string_agg('[Page '||page||']'||chr(10)||case when text='' then '[UNREADABLE]' else substr(text,1,18000) end, chr(10)||chr(10) order by page)) body from ({_DOC}) group by 1",
 }
 
 from docketlab.functions.dimensions import AREAS  # noqa: E402

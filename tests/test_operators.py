@@ -100,10 +100,10 @@ def test_gate_and_guard(spark):
 
 
 BASE = {
-    "packet": "p", "order_type": "Current Owner Search", "owner_state": "CONFIRMED", "deeds": 1, "chain": None, "target": None, "selection_required": False, "target_amount_state": None,
+    "packet": "p", "order_type": "Current Owner Search", "owner_state": "CONFIRMED", "deeds": 1, "chain": None, "target": None, "selection_required": False, "target_amount": "100", "target_amount_state": None,
     "target_position_state": "NOT_STATED", "hoa": "Northgate HOA", "hoa_state": "CONFIRMED", "ccrs": "none", "ccrs_state": "CONFIRMED", "hoa_detail": True, "summary_pairs": 2, "summary_detected": True,
     "summary_mismatched": 0, "summary_omitted": 0, "summary_missing": 0, "amount_or_party_mismatch": 0, "legal_texts": 2, "legal_keys": 1, "mortgages": 1, "mers": "no", "mers_state": "CONFIRMED",
-    "mers_party": False, "federal_tax": "None found", "unknown_liens": 0, "released_liens": 0, "report_address": "1 Main Street", "source_address": "1 MAIN ST", "loan": "m", "loan_recorded": "01/02/2025",
+    "mers_party": False, "federal_tax": "None found", "federal_tax_state": "CONFIRMED", "unknown_liens": 0, "released_liens": 0, "releases": 0, "report_address": "1 Main Street", "source_address": "1 MAIN ST", "loan": "m", "loan_recorded": "01/02/2025",
     "loan_status": "OPEN", "min_state": "CONFIRMED", "min_pages": [2], "page_start": 1, "page_end": 3, "sheet_detected": False, "sheet_mismatched": 0, "sheet_omitted": 0, "sheet_missing": 0,
 }
 
