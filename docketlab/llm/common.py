@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a session on this machine alone gets a
+    temporary one; on a cluster no other machine could read that, so there it is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="docketlab-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

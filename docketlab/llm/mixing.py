@@ -112,8 +112,10 @@ def mixed_documents(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The mix itself: rows of docs, each repeated as often as it is taken (0 to cap times). Rows without
     words weigh nothing either way and are kept once. Thresholds are joined to rows, so texts never shuffle."""
     sizes = document_sizes(docs)
-    cut = stored(thresholds(sizes, source_targets(sizes, cap)), "cuts").select(F.col("source").alias("_s"), F.col("passes").alias("_p"), F.col("below").alias("_b"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    copies = F.when(size == 0, 1).otherwise(F.col("_p") + F.when(hash60(F.col("doc_id")) < F.col("_b"), 1).otherwise(0))
+    cut = stored(thresholds(sizes, source_targets(sizes, cap)), "cuts").select(F.col("source").alias("s"), "passes", "below")
     names = docs.columns
-    return docs.join(cut, docs["source"].eqNullSafe(cut["_s"]), "left").withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    # the caller's columns travel as one, so that none meets a column of this function
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("own"), hash60(F.col("doc_id")).alias("hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("size"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("passes") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
+    out = rows.join(cut, F.col("own").eqNullSafe(F.col("s")), "left").select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])

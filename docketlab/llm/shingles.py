@@ -363,8 +363,15 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     """doc_id, n_shingles, component_id for every row of docs; linked when Jaccard >= num / den.
 
     Null, empty and blank texts have no shingles and stand alone. Repeated rows and equal texts get the same
-    component. A null doc_id counts as the smallest long. Columns other than doc_id and text are not read.
+    component. A null doc_id is less than all others, and so is the component_id of its group: null. Columns other
+    than doc_id and text are not read.
     """
+    shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return _placed(docs, num, den, width).select(shown("doc_id"), "n_shingles", shown("component_id"))
+
+
+def _placed(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """near_duplicates(), with NULL_ID for null ids."""
     modest_batches(docs.sparkSession)
     docs = docs.select(safe_key(docs["doc_id"]).alias("doc_id"), "text")
     members = stored(set_digests(docs, width), "sets")
@@ -382,11 +389,11 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     least = firsts.join(comp, "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = firsts.join(comp, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(placed, "cls", "left")
-    own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs, with one document (the smallest doc_id) of each component; repeated rows of that id all stay."""
-    gone = near_duplicates(docs, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs, with one document (the smallest doc_id; a null one first) of each component; repeated rows of that id all
+    stay."""
+    gone = _placed(docs, num, den, WIDTH).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

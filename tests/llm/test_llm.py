@@ -418,6 +418,9 @@ def test_shingle_join_of_odd_rows(spark, odd, none):
     assert len(got) == odd.count()
     by = {r.doc_id: r for r in got}
     assert by[5].component_id == by[6].component_id == 5 and by[1].n_shingles == by[3].n_shingles == 0
+    assert by[None].component_id is None
+    one = shingles.without_near_duplicates(odd.where("doc_id in (5, 6) or doc_id is null").unionByName(odd.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert {r.doc_id for r in one.collect()} == {None}
     assert shingles.near_duplicates(none).count() == 0
 
 
@@ -503,6 +506,9 @@ def test_mixing_caps_and_odd_rows(spark, odd, none):
     by = {r.source_size: r.target for r in got}
     assert by[30] == 90.0 and by[50] == 150.0 and abs(sum(by.values()) - 3030) < 1e-6
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+    named = odd.where("doc_id < 4").select("doc_id", "text", "source", F.lit("a").alias("s"), F.lit("b").alias("below"), F.lit("c").alias("row"), F.lit("d").alias("a.b"))
+    got = mixing.mixed_documents(named)
+    assert got.columns == named.columns and {(r.s, r.below, r.row, r["a.b"]) for r in got.collect()} == {("a", "b", "c", "d")} and got.count() == 3
 
 
 def test_bpe_equals_the_library(spark, docs, texts, odd):
