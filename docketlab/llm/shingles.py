@@ -32,6 +32,7 @@ FRAGMENTS = 8
 BLOCK = 4096
 SETS = "doc_id long, n int, cls long, items binary"
 PREFIX = "h long, cls long, n int, rare int"
+PAIRS = "a long, b long, n1 int, n2 int, far int"
 PARTS = "cls long, part int, items binary"
 
 
@@ -200,12 +201,15 @@ def _fold(sk: np.ndarray, width: int) -> np.ndarray:
     return sk
 
 
+def _differ(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    width = min(s1.shape[-1], s2.shape[-1])
+    return np.bitwise_count(_fold(s1, width) ^ _fold(s2, width)).sum(-1).astype(np.int64)
+
+
 def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, num: int, den: int) -> np.ndarray:
     """False only where lengths or sketches (of one width each side) prove Jaccard < num / den."""
-    width = min(s1.shape[-1], s2.shape[-1])
-    differ = np.bitwise_count(_fold(s1, width) ^ _fold(s2, width)).sum(-1).astype(np.int64)
     # J >= t  <=>  |x ^ y| * (1 + t) <= (|x| + |y|) * (1 - t)
-    return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
+    return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (_differ(s1, s2) * (den + num) <= (n1 + n2) * (den - num))
 
 
 def _pairs_of(n: np.ndarray, comp: np.ndarray, sk: list[bytes], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,25 +327,34 @@ def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def sifted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, n1, n2 of the pairs whose sketches do not rule a link out."""
+    """a, b, n1, n2 of the pairs whose sketches do not rule a link out, and far: the least share of both sets'
+    shingles that lie in one of them alone, by the sketches, in thousandths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n1, n2 = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
             s1, s2 = (b.column(k).to_pylist() for k in (4, 5))
-            ok, w = np.zeros(len(n1), bool), np.stack([sketch_words(n1), sketch_words(n2)], 1)
+            ok, far, w = np.zeros(len(n1), bool), np.zeros(len(n1), np.int32), np.stack([sketch_words(n1), sketch_words(n2)], 1)
             for p, q in np.unique(w, axis=0):
                 at = np.flatnonzero((w == (p, q)).all(1))
                 x, y = (np.frombuffer(b"".join([s[i] for i in at]), np.uint64).reshape(len(at), -1) for s in (s1, s2))
                 ok[at] = _may_link(n1[at], n2[at], x, y, num, den)
+                far[at] = 1000 * _differ(x, y) // (n1[at] + n2[at])
             ok = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(ok) for k in range(4)], schema=arrow("a long, b long, n1 int, n2 int"))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (*b.columns[:4], pa.array(far))], schema=arrow(PAIRS))
 
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("items").alias("s1")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("items").alias("s2")), "b")
-    return both.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long, n1 int, n2 int")
+    return both.select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, PAIRS)
+
+
+def cut_sets(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
+    """The fragments (cls, part, items) of all sets that pairs name, stored."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    ids = stored(firsts.join(wanted, "cls").select("doc_id").distinct(), "wanted")
+    return stored(fragments(semi(docs, ids, "doc_id"), FRAGMENTS, width).dropDuplicates(["cls", "part"]), "fragments")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, num: int, den: int, width: int) -> DataFrame:
+def verified(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     """a, b of the pairs (a, b, n1, n2) whose overlaps, counted fragment by fragment and summed, reach the threshold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,15 +363,26 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, num: int, den
             same = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64())], schema=arrow("a long, b long, same long"))
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = stored(firsts.join(wanted, "cls").select("doc_id").distinct(), "wanted")
-    cut = stored(fragments(semi(docs, ids, "doc_id"), FRAGMENTS, width).dropDuplicates(["cls", "part"]), "fragments")
     side = lambda k: cut.select(F.col("cls").alias(k), "part", F.col("items").alias(f"{k}_items"))
     overlap = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "part"]).select("a", "b", "a_items", "b_items").mapInArrow(count, "a long, b long, same long")
     total = overlap.groupBy("a", "b").agg(F.sum("same").alias("same")).join(pairs, ["a", "b"])
     return total.where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("n1") + F.col("n2") - F.col("same"))).select("a", "b")
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """pairs of two components, with these as ca and cb."""
+    out = pairs.drop("ca", "cb")
+    for k in ("a", "b"):
+        out = out.join(comp.select(F.col("cls").alias(k), F.col("component").alias(f"c{k}")), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+    return out.where("ca <> cb")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """The pair of each component that its sketches show nearest."""
+    best = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("far", "a", "b", "n1", "n2").alias("p")).groupBy("c").agg(F.min("p").alias("p"))
+    return best.select("p.*").distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; linked when Jaccard >= num / den.
 
@@ -380,12 +404,20 @@ def _placed(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     lists = stored(shared_prefixes(listed, num, den), "lists")
     firsts = sets.select("cls", "doc_id")
     pairs = stored(sifted(_star(lists, num, den), sets, num, den), "pairs")
-    links = stored(verified(pairs, docs, firsts, num, den, width), "links")
+    links = stored(verified(pairs, cut_sets(pairs, docs, firsts, width), num, den), "links")
     comp = components(links).withColumnRenamed("id", "cls")
     placed = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("h", "cls", "n", "comp")
-    pairs = stored(sifted(_across(placed, sets, num, den), sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(stored(verified(pairs, docs, firsts, num, den, width), "links"))
-    comp = components(links).withColumnRenamed("id", "cls")
+    rest = stored(sifted(_across(placed, sets, num, den), sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    cut = cut_sets(rest, docs, firsts, width)
+    # A group of copies that is still in many components would have most of its pairs counted, though a few links
+    # join it: each component's nearest pair comes first, and then all pairs that still lie in two components.
+    for nearest in (True, True, False):
+        rest = stored(_apart(rest, comp), "apart")
+        if rest.isEmpty():
+            break
+        turn = _likeliest(rest) if nearest else rest
+        links = links.union(stored(verified(turn, cut, num, den), "links"))
+        comp = components(links).withColumnRenamed("id", "cls")
     least = firsts.join(comp, "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = firsts.join(comp, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(placed, "cls", "left")
