@@ -20,22 +20,25 @@ def grounded(quotes: DataFrame, pages: DataFrame, ratio: float = RATIO) -> DataF
 
     Candidates come from an equi join on tokens, rare enough ones only: a page that lacks every one of a
     quote's (1 - ratio) * n + 1 rarest tokens cannot reach the ratio, nor hold the quote but for two edges.
-    Quotes too short for that are compared with all pages. quotes: quote_id, quote; pages: page_id, text.
+    Their tokens are counted by a join of the pairs with the quote's tokens and the page's words, and only pairs
+    meet a text. Quotes too short for that are compared with all pages. quotes: quote_id, quote; pages: page_id, text.
     """
     q = quotes.select("quote_id", T.normalize(F.col("quote")).alias("q"), quote_tokens(F.col("quote")).alias("qt")).where("q <> ''")
     p = pages.select("page_id", T.normalize(F.col("text")).alias("p"))
-    words = p.select("page_id", F.explode(F.array_distinct(F.split("p", " "))).alias("t"))
     asked = q.select("quote_id", F.size("qt").alias("n"), F.posexplode("qt").alias("i", "t"))
-    df = words.join(F.broadcast(asked.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    words = p.select("page_id", F.explode(F.array_distinct(F.split("p", " "))).alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
+    df = words.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("quote_id").orderBy(F.coalesce("df", F.lit(0)), "t", "i")
-    probe = asked.join(df, "t", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.greatest(F.floor(F.col("n") * (1 - ratio)) + 1, F.lit(3)))
-    candidates = words.join(probe.select("quote_id", "t").distinct(), "t").select("quote_id", "page_id").distinct()
-    short = q.where(F.size("qt") < MIN_TOKENS)
-    near = candidates.join(q, "quote_id").join(p, "page_id")
-    tiny = short.join(p, F.contains(F.col("p"), F.col("q"))).select("page_id", "quote_id", "q", "qt", "p")
+    probe = asked.where(F.col("n") >= MIN_TOKENS).join(df, "t", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.greatest(F.floor(F.col("n") * (1 - ratio)) + 1, F.lit(3)))
+    pairs = words.join(probe.select("quote_id", "t").distinct(), "t").select("quote_id", "page_id").distinct()
+    often = asked.groupBy("quote_id", "t").agg(F.count("*").alias("times"))
+    hits = pairs.join(often, "quote_id").join(words, ["page_id", "t"]).groupBy("quote_id", "page_id").agg(F.sum("times").alias("matched"))
+    near = hits.join(q, "quote_id").join(p, "page_id")
+    short = q.where(F.size("qt") < MIN_TOKENS).join(p, F.contains(F.col("p"), F.col("q")))
     pt = F.split("p", " ")
-    both = near.where(F.size("qt") >= MIN_TOKENS).select("page_id", "quote_id", "q", "qt", "p").unionByName(tiny)
-    both = both.select("quote_id", "page_id", F.contains(F.col("p"), F.col("q")).alias("exact"), F.size(F.filter("qt", lambda t: F.array_contains(pt, t))).cast("long").alias("matched"), F.size("qt").cast("long").alias("total"))
+    short = short.withColumn("matched", F.size(F.filter("qt", lambda t: F.array_contains(pt, t))).cast("long"))
+    both = near.select("quote_id", "page_id", "matched", "q", "qt", "p").unionByName(short.select("quote_id", "page_id", "matched", "q", "qt", "p"))
+    both = both.select("quote_id", "page_id", F.contains(F.col("p"), F.col("q")).alias("exact"), "matched", F.size("qt").cast("long").alias("total"))
     return both.where(F.col("exact") | ((F.col("total") >= MIN_TOKENS) & (F.col("matched") / F.col("total") >= ratio)))
 
 

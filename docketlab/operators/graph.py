@@ -34,7 +34,7 @@ def top_pages(questions: DataFrame, pages: DataFrame, k: int = 12, most_hits: in
     and meet the pages' token counts in an equi join. questions: question, text; pages: page, text."""
     tokens = questions.select("question", F.explode(F.array_distinct(F.filter(F.split(T.normalize(F.col("text")), " "), lambda t: F.length(t) > 2))).alias("t"))
     words = pages.select("page", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("t"))
-    hits = words.join(F.broadcast(tokens.select("t").distinct()), "t", "left_semi").groupBy("page", "t").agg(F.count("*").alias("n"))
+    hits = words.join(tokens.select("t").distinct(), "t", "left_semi").groupBy("page", "t").agg(F.count("*").alias("n"))
     score = F.sum(F.least(F.col("n"), F.lit(most_hits)) * F.when(F.length("t") > long_token, 2).otherwise(1)).cast("long")
     scored = hits.join(tokens, "t").groupBy("question", "page").agg(score.alias("score"))
     w = Window.partitionBy("question").orderBy(F.col("score").desc(), "page")

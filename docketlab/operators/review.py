@@ -42,7 +42,7 @@ def top_matches(questions: DataFrame, rows: DataFrame, k: int, fallback: int = 0
     the first `fallback` rows. questions: question, text; rows: id, text. Tokens meet in an equi join."""
     asked = questions.select("question", F.explode(question_tokens(F.col("text"))).alias("t"))
     words = rows.select("id", F.explode(F.array_distinct(F.split(T.normalize(F.col("text")), " "))).alias("t"))
-    scored = words.join(F.broadcast(asked), "t").groupBy("question", "id").agg(F.count("*").alias("score"))
+    scored = words.join(asked, "t").groupBy("question", "id").agg(F.count("*").alias("score"))
     w = Window.partitionBy("question").orderBy(F.col("score").desc(), "id")
     best = scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     if not fallback:
