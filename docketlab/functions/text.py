@@ -20,11 +20,14 @@ def trimmed(col: Column) -> Column:
 
 def normalize(col: Column) -> Column:
     """Comparison form of a quote: lower case, straight quotes, letters, digits and $ # . / ' - only."""
-    return trimmed(replaced(replaced(F.lower(F.coalesce(col, F.lit(""))), "[“”‘’]", "'"), "[^a-z0-9$#./' -]+"))
+    out = F.lower(F.coalesce(col, F.lit("")))
+    for quote in "“”‘’":
+        out = F.replace(out, F.lit(quote), F.lit("'"))
+    return F.trim(replaced(out, "[^a-z0-9$#./'-]+"))
 
 
 def upper_words(col: Column) -> Column:
-    return trimmed(replaced(F.upper(F.coalesce(col, F.lit(""))), "[^A-Z0-9]+"))
+    return F.trim(replaced(F.upper(F.coalesce(col, F.lit(""))), "[^A-Z0-9]+"))
 
 
 def alnum_key(col: Column) -> Column:
