@@ -100,7 +100,7 @@ def requirements(stack: DataFrame, targets: DataFrame) -> DataFrame:
     c, number = F.col, F.col("lien").cast("string")
     is_open, mine = c("status") == "OPEN", F.coalesce(c("lien") == c("target"), F.lit(False))
     rules = [
-        (c("target").isNull() & (c("status") != "RELEASED"), F.lit("TARGET_LIEN_SELECTION"), "EVIDENCE", "BLOCKING"),
+        (c("target").isNull(), F.lit("TARGET_LIEN_SELECTION"), "EVIDENCE", "BLOCKING"),
         (mine & c("position").isNull(), F.lit("TARGET_LIEN_POSITION"), "PRIORITY_REVIEW", "BLOCKING"),
         (mine & (c("exception") != ""), F.lit("PRIORITY_EXCEPTION_REVIEW"), "PRIORITY_REVIEW", "REVIEW"),
         (mine & (c("basis") == "FIRST_IN_TIME") & (c("confidence") != "high"), F.lit("FIRST_IN_TIME_CONFIDENCE"), "PRIORITY_REVIEW", "REVIEW"),

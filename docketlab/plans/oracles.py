@@ -26,7 +26,7 @@ _SIDES = """sides as (select s.packet, s.lien, case when s.position<t.position t
  from stack s join (select s.packet, s.position from stack s join targets t on s.packet=t.packet and s.lien=t.target where s.status='OPEN' and s.position is not null) t on s.packet=t.packet
  where s.status='OPEN' and s.position is not null)"""
 _REQS = """reqs as (
- select distinct packet, 'TARGET_LIEN_SELECTION' code, 'EVIDENCE' as type, 'BLOCKING' severity from stack where status<>'RELEASED' and packet not in (select packet from targets where target is not null)
+ select distinct packet, 'TARGET_LIEN_SELECTION' code, 'EVIDENCE' as type, 'BLOCKING' severity from stack where packet not in (select packet from targets where target is not null)
  union all select s.packet,'TARGET_LIEN_POSITION','PRIORITY_REVIEW','BLOCKING' from stack s join targets t on s.packet=t.packet and s.lien=t.target where s.position is null
  union all select s.packet,'PRIORITY_EXCEPTION_REVIEW','PRIORITY_REVIEW','REVIEW' from stack s join targets t on s.packet=t.packet and s.lien=t.target where exc<>''
  union all select s.packet,'FIRST_IN_TIME_CONFIDENCE','PRIORITY_REVIEW','REVIEW' from stack s join targets t on s.packet=t.packet and s.lien=t.target where basis='FIRST_IN_TIME' and confidence<>'high'

@@ -74,13 +74,13 @@ def test_lien_classes_and_status(spark):
 
 
 def test_target_and_requirements(spark):
-    rows = [("p", "j", "OPEN", DAY(2024, 12, 15), "1", "Judgment Lien"), ("p", "m", "OPEN", DAY(2025, 1, 2), "2", "Deed of Trust"), ("q", "x", "UNKNOWN", None, None, "Mortgage")]
+    rows = [("p", "j", "OPEN", DAY(2024, 12, 15), "1", "Judgment Lien"), ("p", "m", "OPEN", DAY(2025, 1, 2), "2", "Deed of Trust"), ("q", "x", "UNKNOWN", None, None, "Mortgage"), ("r", "z", "RELEASED", DAY(2020, 1, 2), "3", "Mortgage")]
     s = liens.lien_stack(spark.createDataFrame(rows, STACK))
     t = liens.automatic_target(s, F.lit(True))
-    assert {r.packet: r.target for r in t.collect()} == {"p": "m", "q": None}
+    assert {r.packet: r.target for r in t.collect()} == {"p": "m", "q": None, "r": None}
     got = {(r.packet, r.code) for r in liens.requirements(s, t).collect()}
-    assert got == {("p", "SENIOR_j"), ("q", "TARGET_LIEN_SELECTION"), ("q", "LIEN_STATUS_x")}
-    assert {r.packet: r.status for r in liens.analysis(s, t).collect()} == {"p": "REVIEW", "q": "CURATIVE_REQUIRED"}
+    assert got == {("p", "SENIOR_j"), ("q", "TARGET_LIEN_SELECTION"), ("q", "LIEN_STATUS_x"), ("r", "TARGET_LIEN_SELECTION")}
+    assert {r.packet: r.status for r in liens.analysis(s, t).collect()} == {"p": "REVIEW", "q": "CURATIVE_REQUIRED", "r": "CURATIVE_REQUIRED"}
 
 
 def test_grounding(spark):
