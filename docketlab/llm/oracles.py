@@ -24,4 +24,15 @@ SHINGLES = """with recursive w as (select doc_id, regexp_extract_all(translate(c
  r(doc_id, c) as (select distinct a, a from b union select r.doc_id, b.b from r join b on r.c=b.a)
  select d.doc_id, coalesce(n.n,0)::bigint n_shingles, coalesce(m.c,d.doc_id) component_id from documents d left join n on d.doc_id=n.doc_id left join (select doc_id, min(c) c from r group by 1) m on d.doc_id=m.doc_id"""
 
-ORACLES = {"op2_line_dedup": LINES, "op7_ngram_jaccard": SHINGLES, "op9_mixing": MIXING}
+#: crc32 byte by byte and bit by bit; a node is the list of its turns.
+TRIE = """with t as (select conv_id, {'r': coalesce(role,''), 't': coalesce(text,'')} turn, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role,''))::varchar||':'||coalesce(role,'')||coalesce(text,''))) i from conversations where conv_id is not null),
+ own as (select conv_id, list(turn order by i) turns from t group by conv_id),
+ h as (select *, conv_id - conv_id%20 base, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(conv_id::varchar)+1), lambda i: ascii(substr(conv_id::varchar,i::int,1))::ubigint)), lambda c, b: list_reduce(list_prepend(xor(c,b), list_transform(range(8), lambda z: 0::ubigint)), lambda x, z: case when x & 1::ubigint = 1 then xor(x >> 1::ubigint, 3988292384::ubigint) else x >> 1::ubigint end)), 4294967295::ubigint) % 4 h from own),
+ r as (select a.conv_id, case when a.conv_id=a.base then a.turns else list_concat(coalesce(list_slice(b.turns,1,a.h::int),[]), list_slice(a.turns,a.h::int+1,len(a.turns))) end turns from h a left join own b on b.conv_id=a.base),
+ m as (select conv_id, len(turns)=d is_end, d depth, case when d=0 then [] else list_slice(turns,1,d) end path from (select *, unnest(range(0,len(turns)+1)) d from r)),
+ n as (select path, any_value(depth) depth, min(conv_id) conv_id, count(*) n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (is_end),'')) ends_sha256, (count(*)-1)*case when any_value(depth)=0 then 0 else len(regexp_extract_all(list_extract(path,-1).t,'[^\\x20\\x09-\\x0D]+')) end saved from m group by path),
+ k as (select list_slice(path,1,depth-1) path, count(*) n from n where depth>0 group by 1),
+ s as (select case when d=0 then [] else list_slice(path,1,d) end path, sum(saved) saved, sum(leaf) leaves from (select n.*, (k.n is null)::int leaf, unnest(range(0,depth+1)) d from n left join k on n.path=k.path) group by 1)
+ select n.conv_id, n.depth, p.conv_id parent_conv_id, n.n_convs, coalesce(k.n,0) n_children, s.leaves::bigint n_leaves, s.saved::bigint saved_tokens, n.ends_sha256 from n join s on s.path=n.path left join k on k.path=n.path left join n p on n.depth>0 and p.path=(case when n.depth=1 then [] else list_slice(n.path,1,n.depth-1) end)"""
+
+ORACLES = {"op12_prefix_trie": TRIE, "op2_line_dedup": LINES, "op7_ngram_jaccard": SHINGLES, "op9_mixing": MIXING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_model, lines, mixing, neighbours, pii, quality, shingles, toxicity
+from . import alignment, bpe, fingerprints, language_model, lines, mixing, neighbours, pii, prefix_trie, quality, shingles, token_files, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -56,6 +56,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_alignment": op11_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_files": op13_token_files,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
