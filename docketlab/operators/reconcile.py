@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,33 +32,33 @@ def party_overlap(expected: Column, names: Column, share: float = 0.6) -> Column
 
 
 def matched(entries: DataFrame, sources: DataFrame, tolerance: Column) -> DataFrame:
-    """Entries with their source by number: MATCHED, MISMATCHED or SOURCE_MISSING.
+    """Entries with their source by number: MATCHED, MISMATCHED or SOURCE_MISSING; of several sources of one number
+    the one with the smallest amount, so that an entry gives one row. cascade.reconciled deals sources out one to one.
     entries: number, amount; sources: number, amount (decimals)."""
-    s = sources.select("number", F.col("amount").alias("source_amount"))
+    s = sources.groupBy("number").agg(F.min("amount").alias("source_amount"))
     out = entries.join(s, "number", "left")
     status = F.when(F.col("source_amount").isNull(), "SOURCE_MISSING").when(tolerance, "MATCHED").otherwise("MISMATCHED")
     return out.withColumn("status", status)
 
 
 def greedy(entries: DataFrame, sources: DataFrame, gap: float) -> DataFrame:
-    """packet, entry, source: entries in order each take the nearest source left within `gap` (relative); a
-    source serves one entry. The order matters, so each packet is folded by itself, in one pandas group.
-    entries: packet, entry, amount; sources: packet, source, amount."""
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pool = right.sort_values("source").reset_index(drop=True)
-        used = pd.Series(False, index=pool.index)
-        out = []
-        for e in left.sort_values("entry").itertuples():
-            off = (pool["amount"] - e.amount).abs()
-            ok = ~used & (off <= gap * abs(e.amount))
-            pick = off[ok].idxmin() if ok.any() else None
-            if pick is not None:
-                used[pick] = True
-            out.append((e.packet, e.entry, None if pick is None else int(pool["source"][pick])))
-        return pd.DataFrame({"packet": pd.Series([o[0] for o in out], dtype="int64"), "entry": pd.Series([o[1] for o in out], dtype="int64"), "source": pd.Series([o[2] for o in out], dtype="Int64")})
-
-    return entries.groupBy("packet").cogroup(sources.groupBy("packet")).applyInPandas(fold, "packet long, entry long, source long")
+    """packet, entry, source: entries in order each take the nearest source left whose amount is off by at most
+    `gap` of the entry's (the first of equally near ones); a source serves one entry. Each packet is folded in
+    order inside aggregate(), over ids and amounts alone. entries: packet, entry, amount; sources: packet, source,
+    amount (decimals)."""
+    packed = lambda df, key: df.groupBy("packet").agg(F.array_sort(F.collect_list(F.struct(key, "amount"))).alias(key))
+    both = packed(entries, "entry").join(packed(sources, "source"), "packet", "left")
+    pool = F.coalesce("source", F.array().cast(both.schema["source"].dataType))
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<entry:bigint,source:bigint>>").alias("out"))
+
+    def step(state: Column, e: Column) -> Column:
+        off = lambda s: F.abs(s["amount"] - e["amount"])
+        near = F.filter(pool, lambda s: ~F.array_contains(state["used"], s["source"]) & (off(s) <= share * F.abs(e["amount"])))
+        pick = F.array_min(F.transform(near, lambda s: F.struct(off(s).alias("off"), s["source"].alias("source"))))["source"]
+        used = F.when(pick.isNotNull(), F.concat(state["used"], F.array(pick))).otherwise(state["used"])
+        return F.struct(used.alias("used"), F.concat(state["out"], F.array(F.struct(e["entry"].cast("long").alias("entry"), pick.alias("source")))).alias("out"))
+
+    return both.select("packet", F.explode(F.aggregate("entry", start, step, lambda s: s["out"])).alias("p")).select("packet", "p.*")
 
 
 def omitted(sources: DataFrame, entries: DataFrame, on: str) -> DataFrame:

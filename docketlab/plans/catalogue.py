@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans import catalogue_checks, catalogue_review
+from docketlab.plans import catalogue_cascade, catalogue_checks, catalogue_review
 from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,9 +224,9 @@ def reconcile_counts(spark, d):
 
 
 def reconcile_greedy(spark, d):
-    o = _t(spark, d, "orders")
-    line = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("amount"))
-    entries = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("packet"), F.col("l_orderkey").alias("entry"), "amount")
+    o = _t(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    line, _ = _sums(spark, d)
+    entries = line.join(o, F.col("number") == F.col("o_orderkey")).select(F.col("o_custkey").alias("packet"), F.col("o_orderkey").alias("entry"), "amount")
     return reconcile.greedy(entries, o.select(F.col("o_custkey").alias("packet"), F.col("o_orderkey").alias("source"), F.col("o_totalprice").alias("amount")), 0.25)
 
 
@@ -398,5 +398,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-QUERIES |= catalogue_review.QUERIES | catalogue_checks.QUERIES
-ORACLES: dict[str, str] = _ORACLES | catalogue_review.ORACLES | catalogue_checks.ORACLES
+_MORE = (catalogue_review, catalogue_checks, catalogue_cascade)
+for _m in _MORE:
+    QUERIES |= _m.QUERIES
+ORACLES: dict[str, str] = dict(_ORACLES)
+for _m in _MORE:
+    ORACLES |= _m.ORACLES
