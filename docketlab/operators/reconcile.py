@@ -46,6 +46,7 @@ def greedy(entries: DataFrame, sources: DataFrame, gap: float) -> DataFrame:
     `gap` of the entry's (the first of equally near ones); a source serves one entry. Each packet is folded in
     order inside aggregate(), over ids and amounts alone. entries: packet, entry, amount; sources: packet, source,
     amount (decimals)."""
+    share = F.lit(Decimal(str(gap)))
     packed = lambda df, key: df.groupBy("packet").agg(F.array_sort(F.collect_list(F.struct(key, "amount"))).alias(key))
     both = packed(entries, "entry").join(packed(sources, "source"), "packet", "left")
     pool = F.coalesce("source", F.array().cast(both.schema["source"].dataType))
