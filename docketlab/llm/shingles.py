@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
 
 
 def _placed(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """near_duplicates(), with NULL_ID for null ids."""
+    """near_duplicates(), with NULL_ID for null ids, and cls: the row's set (null without shingles)."""
     modest_batches(docs.sparkSession)
     docs = docs.select(safe_key(docs["doc_id"]).alias("doc_id"), "text")
     members = stored(set_digests(docs, width), "sets")
@@ -421,11 +421,25 @@ def _placed(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     least = firsts.join(comp, "cls").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = firsts.join(comp, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(placed, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
 
 
 def without_near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs, with one document (the smallest doc_id; a null one first) of each component; repeated rows of that id all
-    stay."""
-    gone = _placed(docs, num, den, WIDTH).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """docs, with the rows of one document (the smallest doc_id; a null one first) of each component.
+
+    Decided row by row: where rows of one id have different texts, each stays or goes with its own text's component,
+    so that every component keeps a row. Repeated rows of an id and text that stays all stay, as do rows without
+    shingles."""
+    placed = stored(_placed(docs, num, den, WIDTH).withColumn("goes", F.expr("doc_id <> component_id")), "placed")
+    ids = placed.groupBy("doc_id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("any"))
+    key = safe_key(docs["doc_id"])
+    gone = ids.where("all").select(F.col("doc_id").alias("gone"))
+    kept = docs.join(gone, key == gone["gone"], "left_anti")
+    mixed = stored(ids.where("any and not all").select(F.col("doc_id").alias("gone")), "mixed")
+    if mixed.isEmpty():
+        return kept
+    # ids with texts of several components: their rows are told apart by the texts' hashes
+    texts = docs.join(mixed, key == mixed["gone"], "left_semi").select(F.xxhash64("text").alias("doc_id"), "text")
+    sets = set_digests(texts).where("n > 0").select(F.col("doc_id").alias("h"), "cls").distinct()
+    rows = placed.where("goes").join(mixed, placed["doc_id"] == mixed["gone"]).join(sets, "cls").select("gone", "h").distinct()
+    return kept.join(rows, (key == rows["gone"]) & (F.xxhash64(kept["text"]) == rows["h"]), "left_anti")

@@ -544,3 +544,15 @@ def test_pipeline(spark, docs):
 def test_mix64_is_a_bijection_on_a_sample():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(mix64(x))) == len(x)
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Rows that share an id stay or go with their own texts: no component loses its last row."""
+    long = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "ABC"}
+    near = long["A"] + " more"
+    rows = [(3, long["B"]), (5, long["A"]), (5, long["B"]), (7, long["A"]), (8, near), (9, long["C"]), (9, "short"), (9, None), (None, long["C"]), (5, long["A"])]
+    docs = spark.createDataFrame([(i, t, None, None, None, "k", 1, 2) for i, t in rows], DOC)
+    got = shingles.without_near_duplicates(docs).collect()
+    texts = collections.Counter((r.doc_id, r.text) for r in got)
+    assert texts == collections.Counter([(3, long["B"]), (5, long["A"]), (5, long["A"]), (None, long["C"]), (9, "short"), (9, None)])
+    assert got[0]._k == "k" and set(got[0].asDict()) == set(docs.columns)
