@@ -10,8 +10,8 @@ from docketlab.functions import text as T
 
 
 def upserted(nodes: DataFrame) -> DataFrame:
-    """One row per node id: the last label, all evidence ids sorted and distinct. nodes: id, type, label, pos, evidence."""
-    return nodes.groupBy("id").agg(F.max("type").alias("type"), F.max_by("label", "pos").alias("label"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    """One row per node id: the first type and label, all evidence ids sorted and distinct. nodes: id, type, label, pos, evidence."""
+    return nodes.groupBy("id").agg(F.min_by("type", "pos").alias("type"), F.min_by("label", "pos").alias("label"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
 
 
 def edges(links: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ ORACLES: dict[str, str] = {
     "identity_keys": f"""with c as (select c_custkey as key, {_WORDS.format(c="c_mktsegment")} scope, c_name, c_nationkey from customer),
  k as (select key, scope, 'order' kind, {_WORDS.format(c="c_name")} v from c where key%3=0 union all select key, scope, 'parcel', c_nationkey::varchar from c where key%4=0 union all select key, scope, 'packet', key::varchar from c where key%3<>0 and key%4<>0)
  select key, kind, kind||'_'||substr(sha256(scope||'|'||kind||'|'||v),1,32) as identity from k""",
-    "graph_nodes": "select 'c'||o_custkey id, 'party' as type, arg_max(o_orderpriority,o_orderkey) as label, string_agg(o_orderkey::varchar, ',' order by o_orderkey) evidence from orders group by 1 union all select 'o'||o_orderkey, 'instrument', o_orderstatus, '' from orders",
+    "graph_nodes": "select 'c'||o_custkey id, 'party' as type, arg_min(o_orderpriority,o_orderkey) as label, string_agg(o_orderkey::varchar, ',' order by o_orderkey) evidence from orders group by 1 union all select 'o'||o_orderkey, 'instrument', o_orderstatus, '' from orders",
     "graph_edges": f"with {_EDGES} select src, dst, type, 'edge_'||substr(sha256(src||'|'||type||'|'||dst),1,20) id from e",
     "graph_neighbours": f"with {_EDGES}, s as (select 'o'||o_orderkey seed from orders), n as (select seed, dst other from s join e on seed=src union select seed, src from s join e on seed=dst) select * from (select seed, other, row_number() over (partition by seed order by other) n from n) where n<=4",
     "retrieve_pages": f"""with t as (select item_id question, unnest(list_distinct(list_filter(string_split({_NORM.format(c="text")},' '), lambda x: length(x)>2))) t from benchmark),
