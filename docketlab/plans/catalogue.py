@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans import catalogue_cascade, catalogue_checks, catalogue_graph, catalogue_review
+from docketlab.plans import catalogue_cascade, catalogue_checks, catalogue_extractions, catalogue_graph, catalogue_review
 from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,7 +398,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph)
+_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph, catalogue_extractions)
 for _m in _MORE:
     QUERIES |= _m.QUERIES
 ORACLES: dict[str, str] = dict(_ORACLES)

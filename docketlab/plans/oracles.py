@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
  r as (select *, row_number() over w r, lead(support) over w s2, lead(conf) over w c2 from g window w as (partition by key order by support desc, conf desc, norm))
  select key, case when s2=support and abs(c2-conf)<0.08::double then 'Needs review' else value end as value, support from r where r=1""",
     "merge_instruments": """with v as (select l_orderkey number, 'flag' f, l_returnflag v, l_linenumber p from lineitem union all select l_orderkey, 'qty', cast(cast(l_quantity as int) as varchar), l_linenumber from lineitem),
- b as (select number, f, v, row_number() over (partition by number, f order by count(*) desc, min(p), v desc) r from v group by 1,2,3)
+ b as (select number, f, v, row_number() over (partition by number, f order by count(*) desc, length(v) desc, min(p), v desc) r from v group by 1,2,3)
  select number, max(case when f='flag' then v end) flag, max(case when f='qty' then v end) qty, any_value(n) n from b join (select l_orderkey number, count(*) n from lineitem group by 1) using(number) where r=1 group by 1""",
     "fold_entries": """with r as (select conv_id packet, turn pos, role as key, case when turn%2=0 then '' else text end as value from conversations),
  k as (select packet, key, min(pos) p, coalesce(arg_min(value,pos) filter (value<>''),'') as value from r group by 1,2) select packet, string_agg(key||':'||value,'|' order by p) entries from k group by 1""",
