@@ -40,6 +40,31 @@ EXCEPTIONS = [
     ("ASSOCIATION", "(?i)hoa|association|assessment"),
     ("UCC", "(?i)ucc"),
 ]
+#: What a stack entry warns of, by blocker, status and kind of priority exception.
+WARNINGS = {
+    "UNDATED": "Recording date is unresolved, so first-in-time position cannot be calculated.",
+    "UNKNOWN_STATUS": "One or more lien identities have unresolved open/released status and could affect this position; exact priority remains unresolved.",
+    "SAME_DAY": "Multiple open encumbrances share the same recording date without a reliable recording sequence; exact priority needs examiner review.",
+    "RELEASED": "Released/satisfied instrument is excluded from the open-lien priority stack.",
+    "UNKNOWN": "Lien status is unresolved; this identity is excluded from the open-lien count and final priority until open/unreleased status is supported.",
+    "TAX": "Tax-lien priority and foreclosure notice/redemption rules can override a simple recording-date ranking.",
+    "MECHANIC": "Mechanics/construction lien priority can relate back to work dates and requires jurisdiction-specific review.",
+    "ASSOCIATION": "HOA/association lien priority can be affected by statutory super-priority rules and requires jurisdiction-specific review.",
+    "UCC": "UCC priority depends on collateral and perfection rules; chronological recording is only a screening baseline.",
+    "NO_TARGET": "Target lien is not resolved in the open-lien stack.",
+}
+#: Requirements, in the order they are raised: code (with _ at its end, the lien's number follows), type, severity, title (by the lien's fields), action.
+REQUIREMENTS = [
+    ("TARGET_LIEN_SELECTION", "EVIDENCE", "BLOCKING", "Foreclosure target lien is unresolved.", "Develop the controlling security lien from packet evidence before relying on amount, position, payoff, notice, or cure analysis. Examiner selection should be used only when the packet cannot support an automatic target."),
+    ("TARGET_LIEN_AMOUNT", "EVIDENCE", "BLOCKING", "Target lien amount is unresolved.", "Confirm the original/recorded lien amount from the controlling security instrument or title-report source evidence."),
+    ("TARGET_LIEN_POSITION", "PRIORITY_REVIEW", "BLOCKING", "Target lien position cannot be developed from the available recording evidence.", "Resolve lien-status, recording-date, sequence, or priority evidence before foreclosure treatment is finalized."),
+    ("PRIORITY_EXCEPTION_REVIEW", "PRIORITY_REVIEW", "REVIEW", "{warning}", "Apply the governing state/jurisdiction priority rule before treating the chronological stack as legal priority."),
+    ("FIRST_IN_TIME_CONFIDENCE", "PRIORITY_REVIEW", "REVIEW", "Lien position is developed from first-in-time chronology but carries a priority exception or sequencing uncertainty.", "Examiner should confirm the applicable priority exception before foreclosure referral/export is finalized."),
+    ("LIEN_STATUS_", "EVIDENCE", "REVIEW", "Lien status unresolved: {kind} {number} · {amount}.", "Determine whether this lien identity is open, released, satisfied, or otherwise no longer affecting title before relying on the final lien count or priority stack."),
+    ("SENIOR_", "PAYOFF_REVIEW", "REVIEW", "Senior open encumbrance: {label} · {kind} {number} · {amount}.", "Confirm whether the foreclosure will remain subject to this senior interest or whether payoff, subordination, release, or other treatment is required for the intended foreclosure outcome."),
+    ("JUNIOR_", "NOTICE_REVIEW", "REVIEW", "Junior open encumbrance: {label} · {kind} {number} · {amount}.", "Confirm required notice, joinder, service, and foreclosure treatment for this junior interest under the governing jurisdiction and process."),
+    ("STACK_EXCEPTION_", "PRIORITY_REVIEW", "REVIEW", "{kind} {number}: {warning}", "Resolve the priority exception before relying on the lien-stack order for foreclosure treatment."),
+]
 TYPE_GROUPS = ["deed of trust|mortgage|security deed", "assignment", "release|satisfaction|reconveyance", "judgment|lien", "trustee|foreclosure", "deed", "plat|survey"]
 
 #: Id, issue code, issue severity, critical, question number of the 26 checks.

@@ -56,30 +56,38 @@ def lien_stack(liens: DataFrame) -> DataFrame:
     return out.withColumn("basis", F.when(F.col("position").isNotNull(), "FIRST_IN_TIME").otherwise("UNRESOLVED")).drop("turn", "peers", "bare", "first_unknown", "undated_unknown")
 
 
+def _target(summarized: Column, over=lambda c: c) -> Column:
+    """The automatic target of a packet, from aggregates that `over` turns into windows where they are to stay by row."""
+    security = lien_class(F.col("kind")) == "SECURITY"
+    is_open = security & (F.col("status") == "OPEN")
+    unsure, n = over(F.bool_or(security & (F.col("status") == "UNKNOWN"))), over(F.count_if(is_open))
+    only, unlisted = over(F.min(F.when(is_open, F.col("lien")))), over(F.count_if(is_open & ~summarized))
+    first = over(F.min(F.when(is_open & (F.col("position") == 1) & (F.col("confidence") == "high"), F.col("lien"))))
+    return F.when(F.coalesce(unsure, F.lit(False)) | (n == 0), F.lit(None)).when(n == 1, only).when(unlisted == 0, first)
+
+
 def automatic_target(stack: DataFrame, summarized: Column) -> DataFrame:
     """packet, target: none while a security lien's status is unknown; the only open one; or, where all open
     ones are on the summary, the one in first position of high confidence."""
-    security = lien_class(F.col("kind")) == "SECURITY"
-    is_open = security & (F.col("status") == "OPEN")
-    agg = stack.groupBy("packet").agg(
-        F.coalesce(F.bool_or(security & (F.col("status") == "UNKNOWN")), F.lit(False)).alias("unsure"),
-        F.count_if(is_open).alias("n"),
-        F.min(F.when(is_open, F.col("lien"))).alias("only"),
-        F.count_if(is_open & ~summarized).alias("unlisted"),
-        F.min(F.when(is_open & (F.col("position") == 1) & (F.col("confidence") == "high"), F.col("lien"))).alias("first"),
-    )
-    target = F.when(F.col("unsure") | (F.col("n") == 0), F.lit(None)).when(F.col("n") == 1, F.col("only")).when(F.col("unlisted") == 0, F.col("first"))
-    return agg.select("packet", target.alias("target"))
+    return stack.groupBy("packet").agg(_target(summarized).alias("target"))
+
+
+def targeted(stack: DataFrame, summarized: Column) -> DataFrame:
+    """stack with its packet's automatic target on every row: windows over the stack's own partitioning, so neither a
+    join nor a shuffle is added."""
+    packet = Window.partitionBy("packet")
+    return stack.withColumn("target", _target(summarized, lambda c: c.over(packet)))
 
 
-def _with_target(stack: DataFrame, targets: DataFrame) -> DataFrame:
-    """stack with its packet's target, and the target's position if it is open and placed."""
-    out = stack.join(targets.select("packet", "target"), "packet", "left")
+def _with_target(stack: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """stack with its packet's target (its own column, if targets is None), and the target's position if it is open
+    and placed."""
+    out = stack if targets is None else stack.join(targets.select("packet", "target"), "packet", "left")
     own = (F.col("lien") == F.col("target")) & (F.col("status") == "OPEN")
     return out.withColumn("target_at", F.max(F.when(own, F.col("position"))).over(Window.partitionBy("packet")))
 
 
-def split_by_target(stack: DataFrame, targets: DataFrame) -> DataFrame:
+def split_by_target(stack: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """packet, lien, side: open liens before (senior) and after (junior) the target's position."""
     placed = _with_target(stack, targets).where((F.col("status") == "OPEN") & F.col("position").isNotNull() & F.col("target_at").isNotNull())
     side = F.when(F.col("position") < F.col("target_at"), "senior").when(F.col("position") > F.col("target_at"), "junior").otherwise("target")
@@ -93,7 +101,7 @@ def evidence_through(stack: DataFrame) -> DataFrame:
     return placed.select("packet", "lien", "position", F.array_join(F.collect_list(F.col("lien").cast("string")).over(w), ",").alias("evidence"))
 
 
-def requirements(stack: DataFrame, targets: DataFrame) -> DataFrame:
+def requirements(stack: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """packet, code, type, severity: the target rules, and one line per unknown, senior, junior and excepted lien.
 
     Each row of the stack yields the rules it meets, so the stack is made once and shuffled once."""
@@ -114,7 +122,7 @@ def requirements(stack: DataFrame, targets: DataFrame) -> DataFrame:
     return out.groupBy("packet", "code").agg(F.first("type").alias("type"), F.first("severity").alias("severity"))
 
 
-def analysis(stack: DataFrame, targets: DataFrame) -> DataFrame:
+def analysis(stack: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """packet, status, n: READY, REVIEW or CURATIVE_REQUIRED from the requirements."""
     need = requirements(stack, targets).groupBy("packet").agg(F.bool_or(F.col("severity") == "BLOCKING").alias("b"), F.count("*").alias("n"))
     all_packets = stack.select("packet").distinct().join(need, "packet", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans import catalogue_cascade, catalogue_checks, catalogue_extractions, catalogue_graph, catalogue_review
+from docketlab.plans import catalogue_cascade, catalogue_checks, catalogue_extractions, catalogue_foreclosure, catalogue_graph, catalogue_review
 from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,13 +89,16 @@ def _targets(stack: DataFrame) -> DataFrame:
     return liens.automatic_target(stack, F.col("lien") % 2 == 0)
 
 
+def _targeted(stack: DataFrame) -> DataFrame:
+    return liens.targeted(stack, F.col("lien") % 2 == 0)
+
+
 def auto_target(spark, d):
     return _targets(liens.lien_stack(_calm(spark, d))).where("target is not null")
 
 
 def senior_junior_split(spark, d):
-    stack = liens.lien_stack(_calm(spark, d))
-    return liens.split_by_target(stack, _targets(stack))
+    return liens.split_by_target(_targeted(liens.lien_stack(_calm(spark, d))))
 
 
 def evidence_through_target(spark, d):
@@ -103,13 +106,11 @@ def evidence_through_target(spark, d):
 
 
 def foreclosure_requirements(spark, d):
-    stack = liens.lien_stack(_liens(spark, d))
-    return liens.requirements(stack, _targets(stack))
+    return liens.requirements(_targeted(liens.lien_stack(_liens(spark, d))))
 
 
 def foreclosure_status(spark, d):
-    stack = liens.lien_stack(_liens(spark, d))
-    return liens.analysis(stack, _targets(stack))
+    return liens.analysis(_targeted(liens.lien_stack(_liens(spark, d))))
 
 
 def page_hint(spark, d):
@@ -398,7 +399,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph, catalogue_extractions)
+_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph, catalogue_extractions, catalogue_foreclosure)
 for _m in _MORE:
     QUERIES |= _m.QUERIES
 ORACLES: dict[str, str] = dict(_ORACLES)
