@@ -191,5 +191,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=schema)
+        # the worker lives on, perhaps for other work: it keeps the vocabulary, not the chunks
+        bpe.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
