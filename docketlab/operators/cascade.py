@@ -126,23 +126,28 @@ def mismatches() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def reconciled(entries: DataFrame, sources: DataFrame) -> DataFrame:
+def expected(kind: Column) -> Column:
+    """Whether a summary is expected to list a source of this type."""
+    return F.coalesce(kind.rlike(EXPECTED) & ~kind.rlike(NOT_EXPECTED), F.lit(False))
+
+
+def reconciled(entries: DataFrame, sources: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """packet, entry, source, tier, status, fields (that mismatch) and evidence (the entry's, then the source's, each
-    once) of every entry: SOURCE_MISSING where no source is taken or either side has no evidence."""
-    s = sources.select("packet", "source", *[F.col(n).alias(f"s_{n}") for n in ("number", "book_page", "documented", "recorded", "amount", "parties", "legal", "evidence")])
+    once) of every entry: SOURCE_MISSING where no source is taken or either side has no evidence. also: further columns,
+    over the entry's columns and the source's with s_."""
+    s = sources.select("packet", "source", *[F.col(n).alias(f"s_{n}") for n in ("number", "book_page", "kind", "documented", "recorded", "amount", "parties", "legal", "evidence")])
     out = entries.join(picks(entries, sources).drop("ord", "pos"), ["packet", "entry"], "left").join(s, ["packet", "source"], "left")
     none = F.array().cast("array<string>")
     supported = F.col("source").isNotNull() & (F.size("evidence") > 0) & (F.size("s_evidence") > 0)
     fields = F.when(supported, mismatches()).otherwise(none)
     status = F.when(~supported, MISSING).when(F.size(fields) > 0, MISMATCH).otherwise(MATCH)
     evidence = F.array_distinct(F.concat(F.coalesce("evidence", none), F.coalesce("s_evidence", none)))
-    return out.select("packet", "entry", "ord", "source", "tier", status.alias("status"), fields.alias("fields"), evidence.alias("evidence"))
+    return out.select("packet", "entry", "ord", "source", "tier", status.alias("status"), fields.alias("fields"), evidence.alias("evidence"), *[v.alias(k) for k, v in (also or {}).items()])
 
 
 def unlisted(sources: DataFrame, matched: DataFrame) -> DataFrame:
     """Sources of a type that a summary lists, taken by no entry (a source taken without evidence counts as taken)."""
-    expected = F.coalesce(F.col("kind").rlike(EXPECTED) & ~F.col("kind").rlike(NOT_EXPECTED), F.lit(False))
-    return sources.where(expected).join(matched.where("source is not null").select("packet", "source").distinct(), ["packet", "source"], "left_anti")
+    return sources.where(expected(F.col("kind"))).join(matched.where("source is not null").select("packet", "source").distinct(), ["packet", "source"], "left_anti")
 
 
 def unavailable(references: DataFrame, sources: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def check_columns() -> dict[str, Column]:
         "HOA_STATUS_REVIEWED": F.when(second, NA).otherwise(_answer(answered("hoa"))),
         "CCRS_REVIEWED": F.when(second, NA).otherwise(_answer(answered("ccrs"))),
         "HOA_NAME_AMOUNTS_REVIEWED": F.when(second | (answered("hoa") & negative(c("hoa"))), NA).otherwise(_answer(c("hoa_detail"))),
-        "DEED_MORTGAGE_ACCURACY": F.when(~c("summary_detected") | (c("summary_pairs") == 0) | (c("summary_missing") > 0), CC).when(c("amount_or_party_mismatch") > 0, FAIL).otherwise(PASS),
+        "DEED_MORTGAGE_ACCURACY": F.when(~c("summary_detected") | (c("summary_pairs") == 0) | (c("pair_missing") > 0), CC).when(c("amount_or_party_mismatch") > 0, FAIL).otherwise(PASS),
         "RECORDED_DOCUMENTS_RECONCILE": _reconciled("summary"),
         "RECORDING_ORDER_RECONCILES": F.lit(CC),
         "ASSIGNMENT_CHAIN_COMPLETE": F.lit(CC),
@@ -67,7 +67,7 @@ def check_columns() -> dict[str, Column]:
 WIDE = (
     "packet string, order_type string, owner_state string, deeds int, chain boolean, target string, selection_required boolean, target_amount string, target_amount_state string,"
     " target_position_state string, hoa string, hoa_state string, ccrs string, ccrs_state string, hoa_detail boolean, summary_pairs int, summary_detected boolean,"
-    " summary_mismatched int, summary_omitted int, summary_missing int, amount_or_party_mismatch int, legal_texts int, legal_keys int, mortgages int, mers string,"
+    " summary_mismatched int, summary_omitted int, summary_missing int, pair_missing int, amount_or_party_mismatch int, legal_texts int, legal_keys int, mortgages int, mers string,"
     " mers_state string, mers_party boolean, federal_tax string, federal_tax_state string, unknown_liens int, released_liens int, releases int, report_address string, source_address string, loan string,"
     " loan_recorded string, loan_status string, min_state string, min_pages array<int>, page_start int, page_end int, sheet_detected boolean, sheet_mismatched int,"
     " sheet_omitted int, sheet_missing int"

@@ -30,6 +30,7 @@ _FIELDS = {
     "summary_mismatched": "cast(case when o_orderkey % 11 = 0 then 2 else 0 end as int)",
     "summary_omitted": "cast(case when o_orderkey % 13 = 0 then 1 else 0 end as int)",
     "summary_missing": "cast(case when o_orderkey % 4 = 0 then 1 else 0 end as int)",
+    "pair_missing": "cast(case when o_orderkey % 20 = 0 then 1 else 0 end as int)",
     "amount_or_party_mismatch": "cast(case when o_orderkey % 6 = 0 then 1 else 0 end as int)",
     "legal_texts": "cast(o_custkey % 4 as int)",
     "legal_keys": "cast(o_custkey % 3 as int)",
@@ -99,7 +100,7 @@ _STATUS = {
     "HOA_STATUS_REVIEWED": f"case when {_TWO} then 'NOT_APPLICABLE' when {_SAID.format('hoa')} then 'PASS' else 'CANNOT_CONFIRM' end",
     "CCRS_REVIEWED": f"case when {_TWO} then 'NOT_APPLICABLE' when {_SAID.format('ccrs')} then 'PASS' else 'CANNOT_CONFIRM' end",
     "HOA_NAME_AMOUNTS_REVIEWED": f"case when {_TWO} or ({_SAID.format('hoa')} and {_NO.format('hoa')}) then 'NOT_APPLICABLE' when hoa_detail then 'PASS' else 'CANNOT_CONFIRM' end",
-    "DEED_MORTGAGE_ACCURACY": "case when not summary_detected or summary_pairs=0 or summary_missing>0 then 'CANNOT_CONFIRM' when amount_or_party_mismatch>0 then 'FAIL' else 'PASS' end",
+    "DEED_MORTGAGE_ACCURACY": "case when not summary_detected or summary_pairs=0 or pair_missing>0 then 'CANNOT_CONFIRM' when amount_or_party_mismatch>0 then 'FAIL' else 'PASS' end",
     "RECORDED_DOCUMENTS_RECONCILE": f"case when not summary_detected then 'CANNOT_CONFIRM' else {_SHEET.format('summary')} end",
     "RECORDING_ORDER_RECONCILES": "'CANNOT_CONFIRM'",
     "ASSIGNMENT_CHAIN_COMPLETE": "'CANNOT_CONFIRM'",

@@ -102,7 +102,7 @@ def test_gate_and_guard(spark):
 BASE = {
     "packet": "p", "order_type": "Current Owner Search", "owner_state": "CONFIRMED", "deeds": 1, "chain": None, "target": None, "selection_required": False, "target_amount": "100", "target_amount_state": None,
     "target_position_state": "NOT_STATED", "hoa": "Northgate HOA", "hoa_state": "CONFIRMED", "ccrs": "none", "ccrs_state": "CONFIRMED", "hoa_detail": True, "summary_pairs": 2, "summary_detected": True,
-    "summary_mismatched": 0, "summary_omitted": 0, "summary_missing": 0, "amount_or_party_mismatch": 0, "legal_texts": 2, "legal_keys": 1, "mortgages": 1, "mers": "no", "mers_state": "CONFIRMED",
+    "summary_mismatched": 0, "summary_omitted": 0, "summary_missing": 0, "pair_missing": 0, "amount_or_party_mismatch": 0, "legal_texts": 2, "legal_keys": 1, "mortgages": 1, "mers": "no", "mers_state": "CONFIRMED",
     "mers_party": False, "federal_tax": "None found", "federal_tax_state": "CONFIRMED", "unknown_liens": 0, "released_liens": 0, "releases": 0, "report_address": "1 Main Street", "source_address": "1 MAIN ST", "loan": "m", "loan_recorded": "01/02/2025",
     "loan_status": "OPEN", "min_state": "CONFIRMED", "min_pages": [2], "page_start": 1, "page_end": 3, "sheet_detected": False, "sheet_mismatched": 0, "sheet_omitted": 0, "sheet_missing": 0,
 }
@@ -114,7 +114,7 @@ BASE = {
         ({}, {"CURRENT_OWNER_ESTABLISHED": "PASS", "PRIOR_OWNER_ESTABLISHED": "CANNOT_CONFIRM", "HOA_NAME_AMOUNTS_REVIEWED": "PASS", "RUN_SHEET_RECONCILES": "PASS", "FEDERAL_TAX_LIEN_REVIEWED": "NOT_APPLICABLE", "MIN_RUN_SHEET_REVIEWED": "NOT_APPLICABLE", "PROPERTY_IDENTITY_RECONCILES": "PASS", "RECOURSE_REVIEWED": "NOT_APPLICABLE"}),
         ({"summary_mismatched": 1}, {"MATERIAL_REPORT_ERRORS_REVIEWED": "FAIL", "RUN_SHEET_RECONCILES": "FAIL", "RECORDED_DOCUMENTS_RECONCILE": "FAIL"}),
         ({"sheet_detected": True, "sheet_mismatched": 1}, {"RUN_SHEET_RECONCILES": "FAIL", "MATERIAL_REPORT_ERRORS_REVIEWED": "PASS"}),
-        ({"summary_missing": 1}, {"RECORDED_DOCUMENTS_RECONCILE": "CANNOT_CONFIRM", "DEED_MORTGAGE_ACCURACY": "CANNOT_CONFIRM"}),
+        ({"summary_missing": 1, "pair_missing": 1}, {"RECORDED_DOCUMENTS_RECONCILE": "CANNOT_CONFIRM", "DEED_MORTGAGE_ACCURACY": "CANNOT_CONFIRM"}),
         ({"order_type": "2nd Lien", "chain": False}, {"HOA_STATUS_REVIEWED": "NOT_APPLICABLE", "OWNERSHIP_CHAIN_COMPLETE": "FAIL"}),
         ({"order_type": "foreclosure", "target": "m", "target_amount_state": "CONFIRMED", "target_position_state": "EXAMINER_CONFIRMED"}, {"TARGET_LIEN_FOUND": "PASS", "TARGET_LIEN_AMOUNT": "PASS", "TARGET_LIEN_POSITION_ESTABLISHED": "PASS"}),
         ({"mers": "yes"}, {"MIN_RUN_SHEET_REVIEWED": "PASS", "MERS_BENEFICIARY_REVIEWED": "PASS"}),
