@@ -20,8 +20,8 @@ from .common import BROADCAST_ROWS, stored
 LEAST, MOST = 1 / 2000, 1 / 5
 #: Subsets: for each chain of hash bits, the terms whose first k bits are 0, for each k of DEPTHS.
 CHAINS, BITS, DEPTHS = 15, 12, (3, 5, 6, 7, 8, 9, 10, 11)
-#: Texts with fewer lexicon terms are hashed by all their terms.
-FEW = 8
+#: Chains from this one on look at all terms of a text.
+ALL_FROM = 10
 #: Rows of a cell of neighbouring ids, most cells that are cut, and most rounds of cutting.
 CELL_ROWS, MOST_CELLS, ROUNDS = 8192, 65_536, 24
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -49,7 +49,8 @@ def _short(c: Column) -> Column:
 
 
 def chain_terms(hashes: list[Column]) -> list[Column]:
-    """For each chain the terms in its largest subset. Five chains share the bits of one hash of a term."""
+    """For each chain the terms in its largest subset. Five chains share the bits of one hash of a term; the last hash is
+    of all terms, the others of the lexicon's."""
     return [F.filter(hashes[c // 5], _zeros(BITS * (c % 5), DEPTHS[0])) for c in range(CHAINS)]
 
 
@@ -67,8 +68,8 @@ def likeness(a: Column, b: Column) -> Column:
 
     Subsets of a chain are nested, so the smallest one is where the two are told apart most finely whatever their
     sizes: where it holds one term of the two documents together, its hashes agree just if they share that term.
-    Chains are independent, so the share estimates the Jaccard likeness of the documents' lexicon terms; it is 1
-    for equal texts. Each chain is looked at once: 2 for agreement, 1 for none, 0 for no subset."""
+    Chains are independent, so the share estimates the Jaccard likeness of the documents' lexicon terms and, for the
+    rest of the chains, of all their terms; it is 1 for equal texts. Each chain is looked at once: 2 for agreement, 1 for none, 0 for no subset."""
     first = lambda x, y: F.aggregate(
         F.zip_with(x, y, lambda p, q: F.when((p == -1) & (q == -1), 0).when(p == q, 2).otherwise(1)), F.lit(0), lambda acc, v: F.when(acc == 0, v).otherwise(acc)
     )
@@ -128,9 +129,9 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many from the start of the next
-    row's text. A null text counts as empty. A text with under FEW terms in the lexicon (as when copies of it are
-    more of the corpus than the band allows) is hashed by all its terms, so equal texts always agree and likeness
-    stays graded; two texts without terms in any subset are as like as their whole hashes. With one row, it is its
+    row's text. A null text counts as empty. Every text is hashed by its lexicon terms (two thirds of the chains) and
+    by all its terms (the rest), so equal texts always agree; two texts without terms in any subset are as like as
+    their whole hashes. With one row, it is its
     own next. No rows give no rows. Columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,14 +153,14 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
     kept = rows.join(words.withColumn("known", F.lit(1)), "term", "left").where("of = 0 or known = 1")
     of = lambda k: F.collect_list(F.when(F.col("of") == k, F.col("term")))
     sets = kept.groupBy("cell", "rn").agg(F.get(F.collect_list("head"), F.lit(0)).alias("h"), of(1).alias("a"), of(2).alias("b"))
-    chosen = lambda c: F.sort_array(F.when(F.size(c) >= FEW, F.col(c)).otherwise(F.col(f"h.all_{c}")))
-    sets = sets.select("cell", "rn", "h.ghost", "h.doc_id", "h.n_chars", "h.sha", chosen("a").alias("a"), chosen("b").alias("b"))
-    more = lambda c, k: F.transform(c, lambda t: F.xxhash64(t, F.lit(k)))
     base = ["cell", "rn", "ghost", "doc_id", "n_chars", "sha"]
-    sets = sets.select(*base, "a", "b", *[more(c, k).alias(f"{c}{k}") for c in "ab" for k in (2, 3)])
+    more = lambda c, k: F.transform(c, lambda t: F.xxhash64(t, F.lit(k)))
+    sets = sets.select("cell", "rn", "h.ghost", "h.doc_id", "h.n_chars", "h.sha", *[F.sort_array(c).alias(c) for c in "ab"], *[F.sort_array(F.col(f"h.all_{c}")).alias(f"all_{c}") for c in "ab"])
+    whole = {c: _short(F.concat(F.col(c), F.array(F.lit(0).cast("bigint")), F.col(f"all_{c}"))) for c in "ab"}
+    sets = sets.select(*base, *[w.alias(f"w{c}") for c, w in whole.items()], *"ab", *[more(c, 2).alias(f"{c}2") for c in "ab"], *[more(f"all_{c}", 3).alias(f"{c}3") for c in "ab"])
     # each chain's terms are a column of their own, so that the subsets below do not filter all terms again
     parts = {c: chain_terms([F.col(c), F.col(f"{c}2"), F.col(f"{c}3")]) for c in "ab"}
-    sets = sets.select(*base, *[_short(F.col(c)).alias(f"w{c}") for c in "ab"], *[p.alias(f"{c}_{i}") for c in "ab" for i, p in enumerate(parts[c])])
+    sets = sets.select(*base, "wa", "wb", *[p.alias(f"{c}_{i}") for c in "ab" for i, p in enumerate(parts[c])])
     made = {c: subset_hashes([F.col(f"{c}_{i}") for i in range(CHAINS)]) for c in "ab"}
     out = sets.select(*base, "wa", "wb", made["a"].alias("fa"), made["b"].alias("fb"))
     w = Window.partitionBy("cell").orderBy("rn")

@@ -84,6 +84,31 @@ def test_fingerprints(spark, docs, texts):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
 
 
+def test_likeness_is_near_jaccard_and_has_no_switch(spark):
+    """Neighbours that differ in some words, with 0 to 12 terms in the lexicon: the mean estimate is near the mean of the
+    set likeness, whatever the number of lexicon terms."""
+    random.seed(11)
+    rows, want, k = [], {}, 0
+    common = [f"c{i}" for i in range(60)]  # in every text: out of the band
+    for n in range(13):
+        for _ in range(6):
+            rare = [f"r{k}x{i}" for i in range(n)]
+            a = common + rare
+            b = common[:-1] + [f"new{k}"] + rare + ([f"one{k}"] if n == 7 else [])
+            # rows go in descending id: a, then b; filler rows stand between the pairs
+            rows += [(4000 - 4 * k, " ".join(a)), (4000 - 4 * k - 1, " ".join(b)), (4000 - 4 * k - 2, f"filler{k} " * 3), (4000 - 4 * k - 3, f"other{k}")]
+            want[4000 - 4 * k] = (n, len(set(a) & set(b)) / len(set(a) | set(b)))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprints(docs, least=2 / len(rows)).collect()}
+    for n in range(13):
+        ids = [i for i, (m, _) in want.items() if m == n]
+        near = np.mean([got[i] for i in ids])
+        # lexicon terms are those of two rows: the shared rare ones, so their likeness is near 1
+        assert near > np.mean([want[i][1] for i in ids]) - 0.15, n
+    assert min(got[i] for i in want) > 0.5
+
+
 def test_fingerprints_of_odd_rows(spark, odd, none):
     got = fingerprints.fingerprints(odd).collect()
     assert len(got) == odd.count()
