@@ -493,6 +493,36 @@ def test_pii(spark, docs, odd, none):
     assert pii.anonymised(odd).count() == odd.count() and pii.anonymised(none).count() == 0
 
 
+def test_pii_coreference_formats_and_columns(spark):
+    """Later mentions of a name, shared last words, prefixes and check digits, and columns of any name."""
+    iban = "GB82 WEST 1234 5698 7654 32"
+    text = f"Mr. John Smith met Frau Smith. Later Smith wrote, and John Smith (not Smithson) paid {iban}; key sk-abcdefghijkl1234 and ghp_ABCDEFGHIJKL5678"
+    rows = [(1, text, 7, 8, 9), (1, "Herr Smith", 7, 8, 9), (None, "no one", 7, 8, 9), (None, "mail x@y.zz", 7, 8, 9), (None, None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int, _m int, n_entities int")
+    got = pii.anonymised(docs).collect()
+    assert len(got) == 5 and all(r._k == 7 and r._m == 8 for r in got) and list(got[0].asDict()) == ["doc_id", "text", "_k", "_m", "n_entities"]
+    out = next(r for r in got if r.text and r.text.startswith("Mr."))
+    full = re.match(r"Mr\. (\w+ \w+) met Frau (\w+)\. Later (\w+) wrote, and (\w+ \w+) \(not Smithson\)", out.text)
+    assert full and full[1] == full[4] and full[2] == full[3] == full[1].split()[1] and "Smith" not in (full[1], full[2]) and out.n_entities == 7
+    assert next(r.text for r in got if r.text and r.text.startswith("Herr")) == f"Herr {full[2]}"
+    made = re.search(r"paid ([A-Z0-9 ]+);", out.text)[1]
+    flat = made.replace(" ", "")
+    assert [len(x) for x in made.split()] == [len(x) for x in iban.split()] and made != iban and flat[:2] == "GB" and flat[4:8].isalpha()
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert re.search(r"key sk-[a-z]{12}\d{4} and ghp_[A-Z]{12}\d{4}$", out.text) and "abcdefghijkl" not in out.text
+
+
+def test_pii_draws_end_where_a_kind_is_exhausted(spark):
+    """More first names to one last word than made-up first names, and more addresses than their form has: all distinct."""
+    docs = spark.createDataFrame([(i, f"Mr. {chr(65 + i)}da Smith wrote {chr(97 + i)}@b.de") for i in range(26)] + [(100, " ".join(f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"))], "doc_id long, text string")
+    texts = [r.text for r in pii.anonymised(docs).orderBy("doc_id").collect()]
+    names = {re.match(r"Mr\. (\w+ \w+) wrote", t)[1] for t in texts[:26]}
+    assert len(names) == 26 and len({n.split()[1] for n in names}) == 1
+    mails = [m for t in texts for m in re.findall(r"\S+@\S+", t)]
+    real = {f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"}
+    assert len(set(mails)) == len(real) and not set(mails) & real
+
+
 def test_mixing(spark, docs, texts):
     rows = mixing.mix(docs).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
