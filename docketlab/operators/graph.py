@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
+from docketlab.operators import review
 
 
 def upserted(nodes: DataFrame) -> DataFrame:
@@ -30,10 +31,11 @@ def neighbours(seeds: DataFrame, links: DataFrame, most: int) -> DataFrame:
 def top_pages(questions: DataFrame, pages: DataFrame, k: int = 12, most_hits: int = 5, long_token: int = 7) -> DataFrame:
     """question, page, score, rank: the k pages with the most token hits for each question.
 
-    A token counts at most `most_hits` times, and twice if longer than `long_token`. Questions' tokens are few
-    and meet the pages' token counts in an equi join. questions: question, text; pages: page, text."""
-    tokens = questions.select("question", F.explode(F.array_distinct(F.filter(F.split(T.normalize(F.col("text")), " "), lambda t: F.length(t) > 2))).alias("t"))
-    words = pages.select("page", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("t"))
+    A token counts at most `most_hits` times, and twice if longer than `long_token`. Questions' tokens, without stop
+    words, meet the pages' words, counted page by page, in an equi join; retrieval.top_pages has the whole score.
+    questions: question, text; pages: page, text."""
+    tokens = questions.select("question", F.explode(review.question_tokens(F.col("text"))).alias("t"))
+    words = pages.select("page", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("t")).where(F.length("t") > 2)
     hits = words.join(tokens.select("t").distinct(), "t", "left_semi").groupBy("page", "t").agg(F.count("*").alias("n"))
     score = F.sum(F.least(F.col("n"), F.lit(most_hits)) * F.when(F.length("t") > long_token, 2).otherwise(1)).cast("long")
     scored = hits.join(tokens, "t").groupBy("question", "page").agg(score.alias("score"))

@@ -129,7 +129,7 @@ ORACLES: dict[str, str] = {
     "graph_nodes": "select 'c'||o_custkey id, 'party' as type, arg_min(o_orderpriority,o_orderkey) as label, string_agg(o_orderkey::varchar, ',' order by o_orderkey) evidence from orders group by 1 union all select 'o'||o_orderkey, 'instrument', o_orderstatus, '' from orders",
     "graph_edges": f"with {_EDGES} select src, dst, type, 'edge_'||substr(sha256(src||'|'||type||'|'||dst),1,20) id from e",
     "graph_neighbours": f"with {_EDGES}, s as (select 'o'||o_orderkey seed from orders), n as (select seed, dst other from s join e on seed=src union select seed, src from s join e on seed=dst) select * from (select seed, other, row_number() over (partition by seed order by other) n from n) where n<=4",
-    "retrieve_pages": f"""with t as (select item_id question, unnest(list_distinct(list_filter(string_split({_NORM.format(c="text")},' '), lambda x: length(x)>2))) t from benchmark),
+    "retrieve_pages": f"""with t as (select item_id question, unnest(list_distinct(list_filter(string_split({_NORM.format(c="text")},' '), lambda x: length(x)>2 and not list_contains(string_split('the and for with from that this what where when does did was were are is has have had who why how can could would should into about title report packet document documents page',' '),x)))) t from benchmark),
  w as (select doc_id page, unnest(string_split({_NORM.format(c="text")},' ')) t from documents), h as (select page, t, count(*) n from w where t in (select t from t) group by 1,2),
  s as (select question, page, sum(least(n,5)*case when length(t)>7 then 2 else 1 end)::bigint score from h join t using(t) group by 1,2)
  select * from (select question, page, score, row_number() over (partition by question order by score desc, page) rank from s) where rank<=12""",
