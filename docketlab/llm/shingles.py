@@ -212,10 +212,11 @@ def _may_link(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, nu
     return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (_differ(s1, s2) * (den + num) <= (n1 + n2) * (den - num))
 
 
-def _pairs_of(n: np.ndarray, comp: np.ndarray, sk: list[bytes], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions x in left and y in right (None: two of left, x < y) that may link and lie in
-    different components. Rows are compared with rows of one sketch width at a time."""
-    a, b = [], []
+def _pairs_of(n: np.ndarray, comp: np.ndarray, sk: list[bytes], left: np.ndarray, right: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions x in left and y in right (None: two of left, x < y) that may link and lie in different components, and
+    how far they are apart by their sketches (bits a shingle of both). Rows are compared with rows of one sketch width at
+    a time."""
+    a, b, far = [], [], []
     width = np.array([len(s) for s in sk]) // 8
     same = right is None
     right = left if right is None else right
@@ -229,11 +230,22 @@ def _pairs_of(n: np.ndarray, comp: np.ndarray, sk: list[bytes], left: np.ndarray
             if ok.any():
                 own = np.frombuffer(sk[x], np.uint64)
                 at = np.flatnonzero(ok)
-                at = at[_may_link(n[x], n[ys[at]], own, table[at], num, den)]
+                bits = _differ(own, table[at])
+                ok = bits * (den + num) <= (n[x] + n[ys[at]]) * (den - num)
+                at, bits = at[ok], bits[ok]
                 a.append(np.full(len(at), x))
                 b.append(ys[at])
+                far.append(bits / (n[x] + n[ys[at]]))
     z = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (z, z)
+    return (np.concatenate(a), np.concatenate(b), np.concatenate(far)) if a else (z, z, z.astype(float))
+
+
+def _nearest(comp: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the pairs are the nearest one of the component that either end lies in."""
+    own = np.concatenate([comp[x], comp[y]])
+    order = np.lexsort((np.r_[far, far], own))
+    first = order[np.r_[True, own[order][1:] != own[order][:-1]]] if len(order) else order
+    return np.unique(first % max(len(x), 1))
 
 
 def shared_prefixes(prefix: DataFrame, num: int, den: int) -> DataFrame:
@@ -273,8 +285,9 @@ def _star(lists: DataFrame, num: int, den: int) -> DataFrame:
     return near.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of one shared shingle in different components which lengths and sketches do not rule out.
+def _across(lists: DataFrame, sets: DataFrame, num: int, den: int, nearest: bool = False) -> DataFrame:
+    """a, b: pairs of one shared shingle in different components which lengths and sketches do not rule out; with
+    nearest, of each block only the nearest pair of each component, so no more than it has documents.
 
     Lists are dealt out in blocks of about BLOCK documents, one group per pair of blocks, so no task holds an
     unbounded list."""
@@ -292,7 +305,10 @@ def _across(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 if (comp[s:e] != comp[s]).any():
                     at = np.arange(s, e)
                     left, right = (at, at) if key[s, 1] == key[s, 2] else (at[blk[at] == key[s, 1]], at[blk[at] == key[s, 2]])
-                    x, y = _pairs_of(n[s:e], comp[s:e], sk[s:e], left - s, right - s if left is not right else None, num, den)
+                    x, y, far = _pairs_of(n[s:e], comp[s:e], sk[s:e], left - s, right - s if left is not right else None, num, den)
+                    if nearest:
+                        kept = _nearest(comp[s:e], x, y, far)
+                        x, y = x[kept], y[kept]
                     got.append(np.stack([cls[x + s], cls[y + s]], 1))
             if got:
                 pairs = np.unique(np.sort(np.concatenate(got), 1), axis=0)
@@ -406,8 +422,16 @@ def _placed(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     pairs = stored(sifted(_star(lists, num, den), sets, num, den), "pairs")
     links = stored(verified(pairs, cut_sets(pairs, docs, firsts, width), num, den), "links")
     comp = components(links).withColumnRenamed("id", "cls")
-    placed = lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("h", "cls", "n", "comp")
-    rest = stored(sifted(_across(placed, sets, num, den), sets, num, den).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    # Of a group of copies that lies in many components, each component's nearest pair in each list comes first: they
+    # are no more than the lists are long, and mostly join the group, so that few pairs are left to be named one by one.
+    in_lists = lambda: lists.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).select("h", "cls", "n", "comp")
+    seen = pairs.select("a", "b")
+    near = stored(sifted(_across(in_lists(), sets, num, den, nearest=True), sets, num, den).join(seen, ["a", "b"], "left_anti"), "pairs")
+    if not near.isEmpty():
+        links = links.union(stored(verified(near, cut_sets(near, docs, firsts, width), num, den), "links"))
+        comp = stored(components(links).withColumnRenamed("id", "cls"), "components")
+        seen = seen.union(near.select("a", "b"))
+    rest = stored(sifted(_across(in_lists(), sets, num, den), sets, num, den).join(seen, ["a", "b"], "left_anti"), "pairs")
     cut = cut_sets(rest, docs, firsts, width)
     # A group of copies that is still in many components would have most of its pairs counted, though a few links
     # join it: each component's nearest pair comes first, and then all pairs that still lie in two components.
