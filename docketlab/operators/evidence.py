@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docketlab.functions import text as T
 
 RATIO, MIN_TOKENS = 0.82, 4
+#: The ratio for quotes that an answer to a question cites.
+QUESTION_RATIO = 0.84
 
 
 def quote_tokens(col: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docketlab.functions import text as T
 from docketlab.operators import review
+from docketlab.operators.anchors import contained
+from docketlab.operators.evidence import QUESTION_RATIO
 
 #: How a page scores.
 MOST_HITS, LONG_TOKEN, EVIDENCE, MENTIONED, UNSEEN = 5, 7, 4, 1000, -4
@@ -88,3 +90,12 @@ def top_rows(questions: DataFrame, rows: DataFrame, k: int, fallback: int = 0) -
     first = rows.select("packet", "id", F.row_number().over(Window.partitionBy("packet").orderBy("pos", "id")).cast("long").alias("rank")).where(c("rank") <= fallback)
     none = questions.select("packet", "question").join(top, ["packet", "question"], "left_anti").join(first, "packet")
     return top.unionByName(none.select("packet", "question", "id", F.lit(0).cast("long").alias("score"), "rank"))
+
+
+def citations(cited: DataFrame, pages: DataFrame) -> DataFrame:
+    """answer, page, quote, supported: whether the page that an answer cites is in its packet, is not blank and holds the
+    quote (QUESTION_RATIO of its tokens). Each citation meets its own page alone. cited: packet, answer, page, quote; pages:
+    packet, page, text, blank."""
+    p = pages.where(~F.coalesce("blank", F.lit(False))).select("packet", "page", T.normalize(F.col("text")).alias("p"))
+    out = cited.join(p, ["packet", "page"], "left")
+    return out.select("answer", "page", "quote", F.coalesce(contained(F.col("quote"), F.col("p"), QUESTION_RATIO), F.lit(False)).alias("supported"))

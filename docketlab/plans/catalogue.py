@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import checks, evidence, graph, liens, merge, pages, reconcile
-from docketlab.plans import catalogue_anchors, catalogue_audit, catalogue_cascade, catalogue_checks, catalogue_extractions, catalogue_foreclosure, catalogue_graph, catalogue_manifests, catalogue_profiles, catalogue_record, catalogue_retrieval, catalogue_review
+from docketlab.plans import catalogue_anchors, catalogue_audit, catalogue_cascade, catalogue_checks, catalogue_extractions, catalogue_foreclosure, catalogue_graph, catalogue_manifests, catalogue_profiles, catalogue_record, catalogue_retrieval, catalogue_review, catalogue_units
 from docketlab.plans.oracles import ORACLES as _ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,7 +399,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph, catalogue_extractions, catalogue_foreclosure, catalogue_audit, catalogue_record, catalogue_retrieval, catalogue_manifests, catalogue_anchors, catalogue_profiles)
+_MORE = (catalogue_review, catalogue_checks, catalogue_cascade, catalogue_graph, catalogue_extractions, catalogue_foreclosure, catalogue_audit, catalogue_record, catalogue_retrieval, catalogue_manifests, catalogue_anchors, catalogue_profiles, catalogue_units)
 for _m in _MORE:
     QUERIES |= _m.QUERIES
 ORACLES: dict[str, str] = dict(_ORACLES)
