@@ -57,12 +57,14 @@ def merge_instruments(rows: DataFrame) -> DataFrame:
     rows: packet, pos, FIELDS, parties (array of name, role), refs (array), evidence (array of ANCHOR)."""
     keyed = rows.withColumn("key", instrument_key())
     values = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(0).alias("i"), _norm(f).alias("norm"), _body(F.col(f)).alias("body")) for f in FIELDS])
-    stated = F.filter(values, lambda x: ~T.is_missing(x["body"]["value"]))
     row = F.array(F.struct(F.lit("row").alias("f"), F.lit(0).alias("i"), F.lit("").alias("norm"), _body().alias("body")))
     parties = _pieces(F.col("parties"), "party", lambda p: F.concat_ws("|", T.upper_words(p["role"]), T.upper_words(p["name"])), lambda p: _body(p["name"], p["role"]))
     refs = F.filter(_pieces(F.col("refs"), "ref", lambda r: F.coalesce(r, F.lit("")), lambda r: _body(r)), lambda x: ~T.is_missing(x["norm"]))
+    fields = F.col("f").isin(*FIELDS)
     anchors = _pieces(F.col("evidence"), "anchor", anchor_form, lambda a: _body(anchor=a))
-    long = keyed.select("packet", "key", "pos", F.explode(F.concat(row, stated, parties, refs, anchors)).alias("x")).select("packet", "key", "pos", "x.*")
+    long = keyed.select("packet", "key", "pos", F.explode(F.concat(row, values, parties, refs, anchors)).alias("x")).select("packet", "key", "pos", "x.*")
+    # missing fields go after the explode, inside generated code
+    long = long.where(~fields | ((F.col("norm") != "") & ~F.col("norm").isin(*T.MISSING)))
     seen = long.groupBy("packet", "key", "f", "norm").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("at"), F.min_by("body", F.struct("pos", "i")).alias("body"))
     vote = F.struct("n", F.length("body.value").alias("len"), (-F.col("at.pos")).alias("early"), F.col("body.value").alias("value"))
     of = lambda f, c: F.when(F.col("f") == f, c)
