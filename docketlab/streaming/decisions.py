@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketlab.operators.checks import latest
 
+KEYS = ["user_id", "event_type"]
+
+
+def _newest() -> list[Column]:
+    return [F.col("ts").desc(), F.col("event_id").desc()]
+
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Status events with repeats within the lateness bound removed; state is dropped behind the watermark."""
@@ -30,3 +36,18 @@ def latest_decisions(events: DataFrame, target: str, checkpoint: str) -> Streami
         latest(new, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).write.mode("overwrite").parquet(f"{target}/v{epoch}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decision_deltas(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch's latest decision per key, written under its own epoch: a replayed batch overwrites its own folder,
+    no batch reads or rewrites what others wrote, and a gap in the epochs changes nothing. current() reads the state."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        latest(batch, KEYS, _newest()).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The latest decision per key over all deltas: one aggregation by key, whatever order the epochs came in."""
+    return latest(spark.read.parquet(target).drop("epoch"), KEYS, _newest())

@@ -225,6 +225,18 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert got == want
 
 
+def test_streaming_deltas_survive_replays_and_gaps(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    decisions.decision_deltas(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    want = sorted(r.event_id for r in checks.latest(src, ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).collect())
+    assert sorted(r.event_id for r in decisions.current(spark, str(tmp_path / "out")).collect()) == want
+    decisions.decision_deltas(stream, str(tmp_path / "out"), str(tmp_path / "ck-lost")).awaitTermination()  # all batches again
+    (tmp_path / "out" / "epoch=0").rename(tmp_path / "out" / "epoch=77")  # epochs with a gap
+    assert sorted(r.event_id for r in decisions.current(spark, str(tmp_path / "out")).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
