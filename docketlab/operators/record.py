@@ -113,8 +113,9 @@ def wide(packets: DataFrame, facts: DataFrame, instruments: DataFrame, entries:
         F.count_if(c("status") == "UNKNOWN").cast("int").alias("unknown_liens"), F.count_if(c("status") == "RELEASED").cast("int").alias("released_liens"), F.count_if(c("kind").rlike(RELEASES)).cast("int").alias("releases"),
         of(is_loan, c("instrument")).alias("loan"), of(is_loan, stated(c("address"))).alias("source_address"), of(is_loan, stated(c("recorded_text"))).alias("loan_recorded"), of(is_loan, c("status")).alias("loan_status"),
     )
+    # deeds of one day and pos are kept apart by instrument, so that their order does not hang on the shuffle
     dated = F.coalesce(F.nullif(cleaned(c("recorded")), F.lit("")), c("documented"))
-    deeds = instruments.where(is_deed).select("packet", F.col("pos").alias("deed"), cascade.day_key(dated).try_cast("date").alias("dated"), _roles(GRANTEE).alias("grantees"), _roles(GRANTOR).alias("grantors"))
+    deeds = instruments.where(is_deed).select("packet", F.struct("pos", "instrument").alias("deed"), cascade.day_key(dated).try_cast("date").alias("dated"), _roles(GRANTEE).alias("grantees"), _roles(GRANTOR).alias("grantors"))
     chain = reconcile.chain_of_packet(reconcile.chain(deeds)).withColumnRenamed("continuous", "chain")
 
     # the summary against its sources
