@@ -348,6 +348,21 @@ def test_language_model_gradients():
         assert abs((seen[0] - seen[1]) / 2e-2 - grads[name][i]) < 0.05 * abs(grads[name][i]) + 1e-4
 
 
+def test_language_model_layers_learn_from_every_training_text(spark, docs, texts, monkeypatch):
+    path = language_model.default_path()
+    vocab = language_model.vocabulary(path)
+    want = np.zeros(vocab)
+    for t in texts.values():
+        for w in re.findall(WORD, lower(t)):
+            want[language_model.subwords([w.encode()], path)[0][0]] += 1
+    want[-1] = len(texts)
+    train = docs.select("text", F.xxhash64("doc_id", "text").alias("lot"))
+    for size in (2_000_000, 10_000):  # one part, and several in two rounds
+        monkeypatch.setattr(language_model, "PART_WORDS", size)
+        common = language_model.fitted(train, path, int(want.sum())).between.table[:, -1]
+        assert np.allclose(common * (want + language_model.SMOOTH).sum(), want + language_model.SMOOTH, rtol=1e-3, atol=0.02)
+
+
 def test_language_model_of_odd_rows(spark, odd, none):
     got = language_model.score_documents(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
