@@ -47,7 +47,8 @@ def legal_words(col: Column) -> Column:
 def day_key(col: Column) -> Column:
     """ISO date of m/d/y, ISO or written-out dates; other text in comparison form."""
     text = cleaned(col)
-    written = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")])
+    # only text with letters can name a month; a text that fails to parse costs an exception each
+    written = F.when(text.rlike("\\p{L}"), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")]))
     return F.coalesce(F.date_format(written, "yyyy-MM-dd"), T.date_key(text))
 
 
@@ -163,7 +164,8 @@ def unavailable(references: DataFrame, sources: DataFrame) -> DataFrame:
     types = sources.select("packet", F.struct(words_key(F.col("kind")).alias("k"), type_mask(cleaned(F.col("kind"))).alias("m")).alias("t")).groupBy("packet").agg(F.collect_set("t").alias("types"))
     own = F.struct(words_key(F.col("kind")).alias("k"), type_mask(cleaned(F.col("kind"))).alias("m"))
     tokens = F.filter(F.split(words_key(F.col("description")), " "), lambda t: F.length(t) > 3)
-    bare = r.where("n = '' and b = ''").join(types, "packet", "left").withColumns({"own": own, "tokens": tokens})
+    # made before the join, so that they are not made anew for each type inside the condition
+    bare = r.where("n = '' and b = ''").withColumns({"own": own, "tokens": tokens}).join(types, "packet", "left")
     named = F.exists(F.coalesce("types", F.array().cast("array<struct<k:string,m:int>>")), lambda t: compatible(F.col("own"), t) & F.exists("tokens", lambda w: F.contains(t["k"], w)))
     return gone.unionByName(bare.where(~named).drop("types", "own", "tokens")).drop("n", "b")
 

@@ -114,3 +114,20 @@ def test_a_repeated_number_gives_an_entry_once(spark):
     s = spark.createDataFrame([(1, 10), (1, 12), (1, 10)], "number long, amount long")
     got = reconcile.matched(e, s, F.col("amount") == F.col("source_amount")).orderBy("number").collect()
     assert [(r.number, r.status) for r in got] == [(1, "MATCHED"), (2, "SOURCE_MISSING")]
+
+
+def test_keys_of_bare_references_are_not_made_inside_the_condition(spark):
+    r = spark.createDataFrame([(1, 1, "", "", "Deed", "the deed of record"), (1, 2, "", "", "Plat", "an old lien")], "packet long, reference long, number string, book_page string, kind string, description string")
+    s = spark.createDataFrame([(1, 5, "", "", "Warranty Deed")], "packet long, source long, number string, book_page string, kind string")
+    out = cascade.unavailable(r, s)
+    assert [x.reference for x in out.collect()] == [2]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    held = [x for x in lines if "exists(" in x and "Filter" in x]
+    assert held and not any("regexp_replace" in x for x in held)
+
+
+def test_only_texts_with_letters_are_read_as_written_dates(spark):
+    days = ["January 5, 1995", "Jan 5, 1995", "5 January 1995", "1/5/95", "1995-01-05", "12", "", "soon"]
+    got = spark.createDataFrame([(d,) for d in days], "d string").select(cascade.day_key(F.col("d")).alias("k"))
+    assert [r.k for r in got.collect()] == ["1995-01-05"] * 3 + ["2095-01-05", "1995-01-05", "12", "", "soon"]
+    assert "\\p{L}" in got._jdf.queryExecution().optimizedPlan().toString()
