@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +66,31 @@ def summary_segment(pages: DataFrame, seed: str, signals: list[str], divider: st
 
 def shards(pages: DataFrame, max_pages: int = SHARD_PAGES, max_chars: int = SHARD_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """packet, page, shard: pages packed in order; a shard closes before the page that would exceed a limit,
-    and the next one starts with its last `overlap` pages. An ordered fold per packet (its page numbers and
-    sizes, not its texts, are gathered)."""
-    start = F.struct(F.lit(0).alias("shard"), F.array().cast("array<struct<page:bigint,size:bigint>>").alias("open"), F.array().cast("array<struct<page:bigint,shard:int>>").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        held = acc["open"]
-        full = (F.size(held) > 0) & ((F.size(held) >= max_pages) | (F.aggregate(held, F.lit(0).cast("bigint"), lambda a, x: a + x["size"]) + p["size"] > max_chars))
-        kept = F.when(F.size(held) > overlap, F.slice(held, -overlap, overlap)).otherwise(held)
-        shard = F.when(full, acc["shard"] + 1).otherwise(acc["shard"])
-        again = F.when(full, F.transform(kept, lambda x: F.struct(x["page"].alias("page"), shard.alias("shard")))).otherwise(F.array().cast("array<struct<page:bigint,shard:int>>"))
-        now = F.concat(F.when(full, kept).otherwise(held), F.array(p))
-        return F.struct(shard.alias("shard"), now.alias("open"), F.concat(acc["out"], again, F.array(F.struct(p["page"].alias("page"), shard.alias("shard")))).alias("out"))
-
-    sized = F.struct(F.col("page").cast("bigint").alias("page"), (F.col("char_count") + SHARD_EXTRA).cast("bigint").alias("size"))
-    packed = pages.groupBy("packet").agg(F.array_sort(F.collect_list(sized)).alias("ps"))
-    return packed.select("packet", F.explode(F.aggregate("ps", start, add, lambda acc: acc["out"])).alias("o")).select("packet", "o.page", "o.shard")
+    and the next one starts with its last `overlap` pages. An ordered fold per packet: its pages' numbers and sizes, not
+    its texts, are sorted by Spark and pass by one after the other, so that only the open shard is held."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packet, held, total, shard = None, [], 0, 0
+        begun = False
+        for b in batches:
+            out = []
+            for p, page, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if not begun or p != packet:
+                    packet, held, total, shard, begun = p, [], 0, 0, True
+                if held and (len(held) >= max_pages or (size is not None and total is not None and total + size > max_chars)):
+                    shard += 1
+                    held = held[max(0, len(held) - overlap) :]
+                    total = None if any(s is None for _, s in held) else sum(s for _, s in held)
+                    out += [(p, q, shard) for q, _ in held]
+                held.append((page, size))
+                total = None if total is None or size is None else total + size
+                out.append((p, page, shard))
+            cols = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int32()), strict=True)], names=["packet", "page", "shard"])
+
+    sized = pages.select("packet", F.col("page").cast("bigint").alias("page"), (F.col("char_count") + SHARD_EXTRA).cast("bigint").alias("size"))
+    kind = sized.schema["packet"].dataType.simpleString()
+    return sized.repartition("packet").sortWithinPartitions("packet", "page", "size").mapInArrow(packed, f"packet {kind}, page bigint, shard int")
 
 
 def markup_text(html: Column) -> Column:

@@ -184,6 +184,13 @@ def test_shards_against_a_loop(spark):
     assert sorted((r.page, r.shard) for r in pages.shards(df, 5, 3000, 2).collect()) == sorted(want)
 
 
+def test_shards_gather_no_packet(spark):
+    """Two packets: pages stream by in order, and no array holds a packet's pages."""
+    out = pages.shards(spark.createDataFrame([("a", p, 0) for p in range(7)] + [("b", 1, 0)], "packet string, page long, char_count long"), 3, 3000, 1)
+    assert sorted((r.packet, r.page, r.shard) for r in out.collect()) == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("a", 2, 1), ("a", 3, 1), ("a", 4, 1), ("a", 4, 2), ("a", 5, 2), ("a", 6, 2), ("b", 1, 0)]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stages(spark):
     log = spark.createDataFrame([("a", i, s) for i, s in enumerate(D.STAGES[1:])] + [("b", 0, "EXTRACT"), ("c", 0, "INGEST"), ("c", 1, "FAILED")], "key string, seq int, stage string")
     assert [(r.key, r.stage) for r in graph.illegal_steps(log).collect()] == [("b", "EXTRACT")]
