@@ -84,12 +84,15 @@ def entry_key() -> Column:
     return F.when(~T.is_missing(F.col("number")), F.concat(F.lit("NUM:"), _norm("number"), F.lit(":"), _norm("category"))).otherwise(F.concat_ws("|", _norm("category"), _norm("kind"), _norm("book_page"), page))
 
 
-def unique_anchors(anchors: Column) -> Column:
-    """Anchors of one comparison form once, the first of them; by page and falling confidence."""
-    formed = F.transform(anchors, lambda a, i: F.struct(anchor_form(a).alias("form"), i.alias("i"), a.alias("a")))
-    firsts = F.filter(formed, lambda x: ~F.exists(formed, lambda y: (y["form"] == x["form"]) & (y["i"] < x["i"])))
+def with_unique_anchors(group: DataFrame, anchors: Column) -> DataFrame:
+    """The rows with evidence: anchors of one comparison form once, the first of them; by page and falling confidence.
+
+    Forms are made once and sorted, so that an anchor is compared with the one before it alone."""
+    at = lambda i: F.get("_formed", i)
+    formed = group.withColumn("_formed", F.array_sort(F.transform(anchors, lambda a, i: F.struct(anchor_form(a).alias("form"), i.alias("i"), a.alias("a")))))
+    firsts = F.filter("_formed", lambda x, i: (i == 0) | (at(i - 1)["form"] != x["form"]))
     ranked = F.array_sort(F.transform(firsts, lambda x: F.struct(x["a"]["page"].alias("page"), (-x["a"]["confidence"]).alias("low"), x["i"].alias("i"), x["a"].alias("a"))))
-    return F.transform(ranked, lambda x: x["a"])
+    return formed.withColumn("evidence", F.transform(ranked, lambda x: x["a"])).drop("_formed")
 
 
 def merge_entries(rows: DataFrame) -> DataFrame:
@@ -111,8 +114,8 @@ def merge_entries(rows: DataFrame) -> DataFrame:
 
         return F.when(F.col("n") == 1, first).otherwise(F.coalesce(F.aggregate("rows", start, step), F.lit(T.NOT_STATED)))
 
-    anchors = unique_anchors(F.flatten(F.transform("rows", lambda x: F.coalesce(x["evidence"], F.array().cast(f"array<{ANCHOR}>")))))
-    return group.select("packet", "key", "n", F.get("rows", F.lit(0))["pos"].alias("pos"), *[folded(f).alias(f) for f in ENTRY_FIELDS], anchors.alias("evidence"))
+    anchors = F.flatten(F.transform("rows", lambda x: F.coalesce(x["evidence"], F.array().cast(f"array<{ANCHOR}>"))))
+    return with_unique_anchors(group, anchors).select("packet", "key", "n", F.get("rows", F.lit(0))["pos"].alias("pos"), *[folded(f).alias(f) for f in ENTRY_FIELDS], "evidence")
 
 
 def merge_references(rows: DataFrame) -> DataFrame:
@@ -120,8 +123,8 @@ def merge_references(rows: DataFrame) -> DataFrame:
     rows: packet, pos, kind, number, book_page, description, evidence."""
     form = F.concat_ws("|", _norm("kind"), _norm("number"), _norm("book_page"), _norm("description"))
     group = rows.groupBy("packet", form.alias("key")).agg(F.min(F.struct("pos", "kind", "number", "book_page", "description")).alias("first"), F.array_sort(F.collect_list(F.struct("pos", "evidence"))).alias("all"))
-    anchors = unique_anchors(F.flatten(F.transform("all", lambda x: F.coalesce(x["evidence"], F.array().cast(f"array<{ANCHOR}>")))))
-    return group.select("packet", "key", "first.*", anchors.alias("evidence"))
+    anchors = F.flatten(F.transform("all", lambda x: F.coalesce(x["evidence"], F.array().cast(f"array<{ANCHOR}>"))))
+    return with_unique_anchors(group, anchors).select("packet", "key", "first.*", "evidence")
 
 
 def summary_bounds(parts: DataFrame) -> DataFrame:
