@@ -53,23 +53,26 @@ def merge_instruments(rows: DataFrame) -> DataFrame:
     then the earlier one on a tie; 'Not Stated' where none is stated); parties by role and name, references and anchors,
     each once by its first occurrence, anchors by page and falling confidence; n, how many rows met.
 
-    A group of which every field is missing is still a row. Two aggregations, both combined before their shuffle.
+    A group of which every field is missing is still a row. Rows move once, as they are, by packet and key; they are
+    taken apart only where they have arrived. What says the same is then counted in fixed-width buffers, so that no
+    exploded row is sorted, and only what is distinct meets the votes.
     rows: packet, pos, FIELDS, parties (array of name, role), refs (array), evidence (array of ANCHOR)."""
-    keyed = rows.withColumn("key", instrument_key())
-    values = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(0).alias("i"), _norm(f).alias("norm"), _body(F.col(f)).alias("body")) for f in FIELDS])
+    keyed = rows.select("packet", instrument_key().alias("key"), "pos", *FIELDS, "parties", "refs", "evidence").repartition("packet", "key")
+    values = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(0).alias("i"), F.lit(None).cast("string").alias("norm"), _body(F.col(f)).alias("body")) for f in FIELDS])
     row = F.array(F.struct(F.lit("row").alias("f"), F.lit(0).alias("i"), F.lit("").alias("norm"), _body().alias("body")))
     parties = _pieces(F.col("parties"), "party", lambda p: F.concat_ws("|", T.upper_words(p["role"]), T.upper_words(p["name"])), lambda p: _body(p["name"], p["role"]))
     refs = F.filter(_pieces(F.col("refs"), "ref", lambda r: F.coalesce(r, F.lit("")), lambda r: _body(r)), lambda x: ~T.is_missing(x["norm"]))
-    fields = F.col("f").isin(*FIELDS)
     anchors = _pieces(F.col("evidence"), "anchor", anchor_form, lambda a: _body(anchor=a))
-    long = keyed.select("packet", "key", "pos", F.explode(F.concat(row, values, parties, refs, anchors)).alias("x")).select("packet", "key", "pos", "x.*")
-    # missing fields go after the explode, inside generated code
-    long = long.where(~fields | ((F.col("norm") != "") & ~F.col("norm").isin(*T.MISSING)))
-    seen = long.groupBy("packet", "key", "f", "norm").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("at"), F.min_by("body", F.struct("pos", "i")).alias("body"))
+    long = keyed.select("packet", "key", "pos", F.explode(F.concat(row, values, parties, refs, anchors)).alias("x")).select("packet", "key", "pos", "x.f", "x.i", "x.norm", "x.body")
+    said = long.groupBy("packet", "key", "f", "norm", "i", "body").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    # a field's form is made once a distinct value; a filter on it would be pushed down to every row, so missing ones only lose their vote
+    said = said.withColumn("norm", F.when(F.col("f").isin(*FIELDS), T.upper_words(F.col("body.value"))).otherwise(F.col("norm")))
+    seen = said.groupBy("packet", "key", "f", "norm").agg(F.sum("n").alias("n"), F.min(F.struct("pos", "i")).alias("at"), F.min_by("body", F.struct("pos", "i")).alias("body"))
     vote = F.struct("n", F.length("body.value").alias("len"), (-F.col("at.pos")).alias("early"), F.col("body.value").alias("value"))
     of = lambda f, c: F.when(F.col("f") == f, c)
+    stated = (F.col("norm") != "") & ~F.col("norm").isin(*T.MISSING)
     listed = lambda f: F.array_sort(F.collect_list(of(f, F.struct("at", "body"))))
-    best = [F.coalesce(F.max(of(f, vote))["value"], F.lit(T.NOT_STATED)).alias(f) for f in FIELDS]
+    best = [F.coalesce(F.max(F.when((F.col("f") == f) & stated, vote))["value"], F.lit(T.NOT_STATED)).alias(f) for f in FIELDS]
     ranked = F.array_sort(F.collect_list(of("anchor", F.struct(F.col("body.anchor.page").alias("page"), (-F.col("body.anchor.confidence")).alias("low"), "at", F.col("body.anchor").alias("a")))))
     out = seen.groupBy("packet", "key").agg(*best, F.max(of("row", F.col("n"))).alias("n"), listed("party").alias("p"), listed("ref").alias("r"), ranked.alias("e"))
     party = F.transform("p", lambda x: F.struct(x["body"]["value"].alias("name"), x["body"]["role"].alias("role")))

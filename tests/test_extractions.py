@@ -126,3 +126,14 @@ def test_merge_rows_meets_spellings_and_keeps_bare_keys(spark):
     rows = spark.createDataFrame([("k", 1, "ACME Bank", None), ("k", 2, "acme  bank.", None), ("k", 3, "Zed", "n/a"), ("k", 4, "Zed Ltd", "x"), ("bare", 1, None, None), ("bare", 2, "Unknown", "")], "key string, pos int, name string, other string")
     got = {r.key: (r.name, r.other, r.n) for r in merge.merge_rows(rows, "key", ["name", "other"]).collect()}
     assert got == {"k": ("ACME Bank", "x", 4), "bare": (None, None, 2)}
+
+
+def moves(df):
+    """How often rows are moved, and whether any are exploded before."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), "Generate explode" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_merged_instruments_move_whole_rows_once(spark):
+    rows = spark.createDataFrame([], SCHEMA)
+    assert moves(X.merge_instruments(rows)) == (1, False)
