@@ -35,15 +35,18 @@ def merge_rows(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per key with the majority value of each field, by the rule of majority() (null where none is stated),
     and the group's size; a key of which all fields are missing is still a row.
 
-    Fields, and one mark a row, are unpivoted once; votes are counted before the shuffle, and one aggregation over them
-    decides all fields. rows: key, pos and the fields."""
-    mark = F.struct(F.lit("").alias("f"), F.lit("").alias("norm"), F.lit(None).cast("string").alias("v"))
-    said = [F.struct(F.lit(f).alias("f"), T.upper_words(F.col(f).cast("string")).alias("norm"), F.col(f).cast("string").alias("v")) for f in fields]
-    long = rows.select(key, "pos", F.explode(F.array(mark, *said)).alias("x")).select(key, "pos", "x.*").where((F.col("f") == "") | ((F.col("norm") != "") & ~F.col("norm").isin(*T.MISSING)))
-    votes = long.groupBy(key, "f", "norm").agg(F.count("*").alias("n"), F.min(F.struct("pos", "v")).alias("first"))
-    of = lambda f, c: F.when(F.col("f") == f, c)
+    Rows move once, as they are; where they have arrived, fields, and one mark a row, are unpivoted, and equal values are
+    counted in fixed-width buffers, so that comparison forms are made and sorted of distinct values only.
+    rows: key, pos and the fields."""
+    mark = F.struct(F.lit("").alias("f"), F.lit(None).cast("string").alias("v"))
+    said = [F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields]
+    long = rows.select(key, "pos", *fields).repartition(key).select(key, "pos", F.explode(F.array(mark, *said)).alias("x")).select(key, "pos", "x.f", "x.v")
+    same = long.groupBy(key, "f", "v").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).withColumn("norm", T.upper_words(F.col("v")))
+    votes = same.groupBy(key, "f", "norm").agg(F.sum("n").alias("n"), F.min(F.struct("pos", "v")).alias("first"))
+    # missing values lose their vote here: a filter on the form would be pushed down to every row
+    stated = (F.col("norm") != "") & ~F.col("norm").isin(*T.MISSING)
     vote = F.struct("n", F.length("first.v").alias("len"), (-F.col("first.pos")).alias("early"), F.col("first.v").alias("v"))
-    return votes.groupBy(key).agg(*[F.max(of(f, vote))["v"].alias(f) for f in fields], F.max(of("", F.col("n"))).alias("n"))
+    return votes.groupBy(key).agg(*[F.max(F.when((F.col("f") == f) & stated, vote))["v"].alias(f) for f in fields], F.max(F.when(F.col("f") == "", F.col("n"))).alias("n"))
 
 
 def union_by_identity(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

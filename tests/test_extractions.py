@@ -137,3 +137,8 @@ def moves(df):
 def test_merged_instruments_move_whole_rows_once(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert moves(X.merge_instruments(rows)) == (1, False)
+
+
+def test_merge_rows_moves_whole_rows_once(spark):
+    rows = spark.createDataFrame([], "key int, pos long, name string, other string")
+    assert moves(merge.merge_rows(rows, "key", ["name", "other"])) == (1, False)
