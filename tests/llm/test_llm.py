@@ -626,3 +626,18 @@ def test_near_duplicates_go_by_row(spark):
     texts = collections.Counter((r.doc_id, r.text) for r in got)
     assert texts == collections.Counter([(3, long["B"]), (5, long["A"]), (5, long["A"]), (None, long["C"]), (9, "short"), (9, None)])
     assert got[0]._k == "k" and set(got[0].asDict()) == set(docs.columns)
+
+
+def test_a_part_of_the_language_model_is_cut_in_blocks():
+    import tracemalloc
+
+    path = language_model.default_path()
+    vocab = language_model.vocabulary(path)
+    texts = [" ".join(f"w{(i * 7919 + j) % 5000}" for j in range(20_000)).encode() for i in range(30)]
+    language_model._part(texts[:1], path, vocab)
+    tracemalloc.start()
+    counts, _, _ = language_model._part(texts, path, vocab)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts[0].sum() == 600_000 + 30
+    assert peak < 120 * 600_000  # bytes a word
