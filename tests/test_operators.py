@@ -249,3 +249,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_candidates_hold_several_rare_tokens(spark):
+    asked = spark.createDataFrame([(1, 6, i, t) for i, t in enumerate("alpha beta gamma delta epsilon zeta".split())], "quote_id int, n int, i int, t string")
+    words = spark.createDataFrame([(p, t) for p, held in ((10, "alpha"), (11, "alpha beta"), (12, "alpha beta gamma zeta")) for t in held.split()], "page_id int, t string")
+    assert {(r.quote_id, r.page_id) for r in evidence._candidates(asked, words, evidence.RATIO).collect()} == {(1, 12)}
