@@ -17,10 +17,14 @@ SHARD_PAGES, SHARD_CHARS, SHARD_EXTRA, OVERLAP = 72, 220_000, 150, 2
 
 def order_type(text: Column, candidates: list[tuple[str, str]], label: str = "(?i)\\b(?:search\\s*type|order\\s*type)\\s*[:\\-]?\\s*([^|]{0,80})") -> Column:
     """Order type named in a labelled field, else anywhere in the first 30,000 characters; null if none is."""
-    opening = F.substring(T.compact(text), 1, 30_000)
-    labelled = F.regexp_extract(opening, label, 1)
-    found = [F.when((labelled != "") & labelled.rlike(p), name) for name, p in candidates]
-    return F.coalesce(*found, *[F.when(opening.rlike(p), name) for name, p in candidates])
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def named(opening: Column) -> Column:
+        found = lambda labelled: F.coalesce(*[F.when((labelled != "") & labelled.rlike(p), name) for name, p in candidates])
+        return F.coalesce(once(F.regexp_extract(opening, label, 1), found), *[F.when(opening.rlike(p), name) for name, p in candidates])
+
+    # the opening and the label are made once a text, however many candidates read them
+    return once(F.substring(T.compact(text), 1, 30_000), named)
 
 
 def ledger(pages: DataFrame) -> DataFrame:

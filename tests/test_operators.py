@@ -255,3 +255,10 @@ def test_candidates_hold_several_rare_tokens(spark):
     asked = spark.createDataFrame([(1, 6, i, t) for i, t in enumerate("alpha beta gamma delta epsilon zeta".split())], "quote_id int, n int, i int, t string")
     words = spark.createDataFrame([(p, t) for p, held in ((10, "alpha"), (11, "alpha beta"), (12, "alpha beta gamma zeta")) for t in held.split()], "page_id int, t string")
     assert {(r.quote_id, r.page_id) for r in evidence._candidates(asked, words, evidence.RATIO).collect()} == {(1, 12)}
+
+
+def test_order_type_makes_opening_and_label_once(spark):
+    texts = spark.createDataFrame([("Order Type: Full Search | deed",), ("a deed",), ("none",), (None,)], "text string")
+    found = texts.select(pages.order_type(F.col("text"), [("Deed", "deed"), ("Full", "(?i)full")]).alias("x"))
+    assert [r.x for r in found.collect()] == ["Full", "Deed", None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
