@@ -1,6 +1,7 @@
 """The evidence graph of a packet: typed nodes and edges with hashed ids, references resolved to instruments or to
-synthesised external nodes, and the part of it that a question calls for. Everything is joins on the packet, so all
-packets' graphs are made at once."""
+synthesised external nodes, and the part of it that a question calls for. All packets' graphs are made at once, and
+tables that stand together by packet (df.repartition("packet")) are not moved again: joins are on the packet alone,
+and what shares a packet and a further key meets in a window (`beside`)."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ LONG_TOKEN = 7
 
 def unique(ids: Column) -> Column:
     """Sorted distinct ids without nulls and empty ones."""
-    return F.array_sort(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))
+    return F.sort_array(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))
 
 
 def party_id(name: Column) -> Column:
@@ -41,6 +42,17 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def beside(rows: DataFrame, facts: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with an array `name` of the facts (structs of their other columns) of the same packet and key; null keys
+    meet nothing. A join on both columns would move both sides again, a window stays within the packet."""
+    facts = facts.where(F.col("packet").isNotNull() & F.col(key).isNotNull())
+    rest = [c for c in facts.columns if c not in ("packet", key)]
+    fact = F.struct(*rest) if rest else F.struct(F.lit(True).alias("here"))
+    both = rows.withColumn("is_row", F.lit(True)).unionByName(facts.select("packet", key, fact.alias("fact")), allowMissingColumns=True)
+    met = F.collect_list("fact").over(Window.partitionBy("packet", key))
+    return both.withColumn(name, met).where("is_row").drop("is_row", "fact")
+
+
 def instrument_index(instruments: DataFrame) -> DataFrame:
     """packet, norm, target: the node of the last instrument (by pos) of each number in comparison form."""
     norm = T.upper_words(F.col("number"))
@@ -52,9 +64,10 @@ def resolved_references(instruments: DataFrame, references: DataFrame) -> DataFr
     or digits, at the instrument of its number or at a synthesised external node. references: packet, instrument,
     reference."""
     norm = T.upper_words(F.col("reference"))
-    r = references.where(norm != "").withColumn("norm", norm).join(instruments.select("packet", "instrument", "evidence"), ["packet", "instrument"])
-    out = r.join(instrument_index(instruments), ["packet", "norm"], "left").withColumn("external", F.col("target").isNull())
-    return out.withColumn("target", F.coalesce("target", T.digest("external_", F.col("norm")))).drop("norm")
+    r = beside(references.where(norm != "").withColumn("norm", norm), instruments.select("packet", "instrument", "evidence"), "instrument", "of")
+    r = r.select("packet", "instrument", "reference", "norm", F.explode("of.evidence").alias("evidence"))
+    out = beside(r, instrument_index(instruments), "norm", "known").withColumn("target", F.get("known.target", F.lit(0))).withColumn("external", F.col("target").isNull())
+    return out.withColumn("target", F.coalesce("target", T.digest("external_", F.col("norm")))).drop("norm", "known")
 
 
 def _key(packets: DataFrame) -> DataFrame:
@@ -94,31 +107,31 @@ def edges(t: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
     """packet, id, src, dst, type, label, evidence: one row an edge, ids from source, target, type and label; rows of
     one edge join their evidence. targets: packet, target (an instrument or null), evidence."""
     c, key = F.col, _key(t["packets"])
-    edge = lambda df, a, b, kind, label, evidence: df.select("packet", a.alias("src"), b.alias("dst"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), (label if isinstance(label, Column) else F.lit(label)).alias("label"), evidence.alias("evidence"))
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    edge = lambda a, b, kind, label, evidence: F.struct(a.alias("src"), b.alias("dst"), text(kind).alias("type"), text(label).alias("label"), evidence.alias("evidence"))
+    edged = lambda df, *made: df.select("packet", F.inline(F.array(*made)))
     own = lambda name: t[name].join(key, "packet")
     instrument, packet, estate = _id("instrument_", c("instrument")), c("packet_node"), c("property_node")
     entry = T.digest("report_entry_", c("entry"))
     role = T.upper_words(c("role"))
     kind = F.when(F.contains(role, F.lit("ASSIGNOR")), "ASSIGNOR").when(F.contains(role, F.lit("ASSIGNEE")), "ASSIGNEE").otherwise("HAS_PARTY")
-    parties = t["parties"].join(t["instruments"].select("packet", "instrument", F.col("evidence").alias("of")), ["packet", "instrument"])
-    entries = own("entries").withColumn("norm", T.upper_words(c("number"))).join(instrument_index(t["instruments"]), ["packet", "norm"], "left")
-    known = t["evidence"].select("packet", F.col("evidence").alias("one")).distinct()
-    backed = lambda df: df.select("*", F.explode(unique(c("evidence"))).alias("one")).join(known, ["packet", "one"], "left_semi")
+    parties = beside(t["parties"], t["instruments"].select("packet", "instrument", "evidence"), "instrument", "of").select("*", F.explode("of.evidence").alias("its"))
+    entries = beside(own("entries").withColumn("norm", T.upper_words(c("number"))), instrument_index(t["instruments"]), "norm", "known").withColumn("target", F.get("known.target", F.lit(0)))
+    known = t["evidence"].select("packet", c("evidence").alias("one")).distinct()
+    backed = lambda df, node: beside(df.select("packet", node.alias("node"), F.explode(unique(c("evidence"))).alias("one")), known, "one", "found").where(F.size("found") > 0)
     check = T.digest("check_", c("check_id"))
     chosen = own("targets") if "targets" in t else targets.join(key, "packet")
-    chosen = chosen.join(t["instruments"].select("packet", F.col("instrument").alias("target")).distinct(), ["packet", "target"])
+    chosen = beside(chosen, t["instruments"].select("packet", c("instrument").alias("target")).distinct(), "target", "found").where(F.size("found") > 0)
     raw = _all([
-        edge(own("packets"), packet, estate, "CONTAINS", "packet property", c("evidence")),
-        edge(own("instruments"), packet, instrument, "CONTAINS", "packet instrument", c("evidence")),
-        edge(own("instruments"), instrument, estate, "AFFECTS_PROPERTY", "affects property", c("evidence")),
-        edge(parties, instrument, party_id(c("name")), kind, F.coalesce(F.when(c("role") != "", c("role")), F.lit("party")), F.concat(unique(c("of")), unique(c("evidence")))),
-        edge(resolved_references(t["instruments"], t["references"]), instrument, c("target"), "REFERENCES", F.concat(F.lit("references "), c("reference")), c("evidence")),
-        edge(entries, packet, entry, "CONTAINS", "title report entry", c("evidence")),
-        edge(entries, entry, F.coalesce(c("target"), estate), F.when(c("target").isNotNull(), "REPORTS_INSTRUMENT").otherwise("REPORTS_UNRESOLVED"), F.when(c("target").isNotNull(), "report/source match candidate").otherwise("report entry lacks matched supplied instrument"), c("evidence")),
-        edge(backed(t["instruments"]), instrument, _id("evidence_", c("one")), "SUPPORTED_BY", "instrument evidence", F.array("one")),
-        edge(own("checks"), packet, check, "CONTAINS", "review check", c("evidence")),
-        edge(backed(t["checks"]), check, _id("evidence_", c("one")), "CHECK_SUPPORTED_BY", "check evidence", F.array("one")),
-        edge(chosen, estate, _id("instrument_", c("target")), "TARGET_LIEN", "selected target lien", c("evidence")),
+        edged(own("packets"), edge(packet, estate, "CONTAINS", "packet property", c("evidence"))),
+        edged(own("instruments"), edge(packet, instrument, "CONTAINS", "packet instrument", c("evidence")), edge(instrument, estate, "AFFECTS_PROPERTY", "affects property", c("evidence"))),
+        edged(parties, edge(instrument, party_id(c("name")), kind, F.coalesce(F.when(c("role") != "", c("role")), F.lit("party")), F.concat(unique(c("its")), unique(c("evidence"))))),
+        edged(resolved_references(t["instruments"], t["references"]), edge(instrument, c("target"), "REFERENCES", F.concat(F.lit("references "), c("reference")), c("evidence"))),
+        edged(entries, edge(packet, entry, "CONTAINS", "title report entry", c("evidence")), edge(entry, F.coalesce(c("target"), estate), F.when(c("target").isNotNull(), "REPORTS_INSTRUMENT").otherwise("REPORTS_UNRESOLVED"), F.when(c("target").isNotNull(), "report/source match candidate").otherwise("report entry lacks matched supplied instrument"), c("evidence"))),
+        edged(backed(t["instruments"], instrument), edge(c("node"), _id("evidence_", c("one")), "SUPPORTED_BY", "instrument evidence", F.array("one"))),
+        edged(own("checks"), edge(packet, check, "CONTAINS", "review check", c("evidence"))),
+        edged(backed(t["checks"], check), edge(c("node"), _id("evidence_", c("one")), "CHECK_SUPPORTED_BY", "check evidence", F.array("one"))),
+        edged(chosen, edge(estate, _id("instrument_", c("target")), "TARGET_LIEN", "selected target lien", c("evidence"))),
     ])
     out = raw.groupBy("packet", "src", "dst", "type", "label").agg(unique(F.flatten(F.collect_list(unique(c("evidence"))))).alias("evidence"))
     return out.select("packet", T.digest("edge_", F.concat_ws("|", "src", "dst", "type", "label")).alias("id"), "src", "dst", "type", "label", "evidence")
@@ -138,12 +151,12 @@ def relevant(questions: DataFrame, all_nodes: DataFrame, all_edges: DataFrame) -
     by = Window.partitionBy("question", "packet")
     scored = scored.select("question", "packet", "id", points.alias("score")).where("score > 0")
     seeds = scored.withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "id")).cast("long")).where(F.col("place") <= SEEDS).drop("score")
-    ends = all_edges.select("packet", "id", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("end"))
-    at = seeds.select("question", "packet", F.col("id").alias("end")).join(ends, ["packet", "end"]).select("question", "packet", "id", "src", "dst").distinct()
-    near = at.withColumn("place", F.row_number().over(by.orderBy("id")).cast("long")).where(F.col("place") <= EDGES)
+    chosen = seeds.groupBy("question", "packet").agg(F.collect_list("id").alias("seeds"))
+    at = all_edges.select("packet", "id", "src", "dst").join(chosen, "packet").where(F.array_contains("seeds", F.col("src")) | F.array_contains("seeds", F.col("dst")))
+    near = at.select("question", "packet", "id", "src", "dst").withColumn("place", F.row_number().over(by.orderBy("id")).cast("long")).where(F.col("place") <= EDGES)
     both = near.select("question", "packet", F.posexplode(F.array("src", "dst")).alias("side", "id"), "place")
-    both = both.groupBy("question", "packet", "id").agg(F.min(F.col("place") * 2 + F.col("side")).alias("first"))
-    both = both.join(all_nodes.select("packet", "id"), ["packet", "id"], "left_semi")
-    merged = both.join(seeds, ["question", "packet", "id"], "full")
+    both = both.select("question", "packet", "id", (F.col("place") * 2 + F.col("side")).alias("first"))
+    both = beside(both, all_nodes.select("packet", "id"), "id", "found").where(F.size("found") > 0).drop("found")
+    merged = both.unionByName(seeds, allowMissingColumns=True).groupBy("question", "packet", "id").agg(F.min("place").alias("place"), F.min("first").alias("first"))
     placed = merged.withColumn("place", F.row_number().over(by.orderBy(F.col("place").asc_nulls_last(), "first")).cast("long")).where(F.col("place") <= NODES)
     return placed.select("question", "packet", "id", "place"), near.select("question", "packet", "id", "src", "dst", "place")

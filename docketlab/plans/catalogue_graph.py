@@ -18,6 +18,7 @@ _TABLES = {
     "evidence": ("(select distinct o_custkey, o_orderkey % 4 k from orders)", {"packet": "o_custkey", "evidence": "concat('e', cast(k as string))", "page": "k + 1", "kind": "case when k % 2 = 0 then 'Deed' else 'Plat' end"}),
     "checks": ("(select distinct o_custkey, o_orderkey % 26 k from orders)", {"packet": "o_custkey", "check_id": "concat('CHECK_', cast(k as string))", "question": "case when k < 20 then k + 1 end", "label": "concat('Check number ', cast(k as string))", "status": "case when k % 3 = 0 then 'FAIL' else 'PASS' end", "e1": "concat('e', cast(k % 6 as string))", "e2": "''"}),
 }
+_ORDERS_A_TASK = 50_000
 _TARGETS = {"packet": "c_custkey", "target": "case when c_custkey % 3 > 0 then cast(c_custkey % 500 as string) end", "e1": "'t'", "e2": "'e1'"}
 
 
@@ -31,7 +32,11 @@ def _frame(spark, sql, fields):
 
 
 def _tables(spark, d):
+    # rows of a packet come together once, before texts and ids are made of them; an order makes some 30 rows, so tasks
+    # are counted by orders, and a number given keeps them from being put together by their small size
     read = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("customer", "orders")}
+    parts = max(spark.sparkContext.defaultParallelism, read["orders"].count() // _ORDERS_A_TASK + 1)
+    read = {n: df.repartition(parts, {"customer": "c_custkey", "orders": "o_custkey"}[n]) for n, df in read.items()}
     at = lambda text: (text.replace("customer", "{customer}").replace("orders", "{orders}"), {n: f for n, f in read.items() if n in text})
     t = {name: _frame(spark, at(source), fields) for name, (source, fields) in _TABLES.items()}
     return t, _frame(spark, at("customer"), _TARGETS)

@@ -56,3 +56,19 @@ def test_references_go_to_the_last_instrument_or_outside(spark):
 def test_ids_of_evidence_are_sorted_once_each(spark):
     df = spark.createDataFrame([(["b", None, "", "a", "b"],), (None,), ([],)], "ids array<string>")
     assert [r.u for r in df.select(G.unique(df["ids"]).alias("u")).collect()] == [["a", "b"], [], []]
+
+
+def test_a_graph_moves_rows_by_packet_alone(spark):
+    from docketlab.plans import catalogue_graph as C
+
+    for name in ("title_graph_edges", "relevant_graph_edges", "relevant_graph_nodes"):
+        plan = C.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and all("REPARTITION" in line for line in moved), moved
+
+
+def test_null_keys_meet_no_fact(spark):
+    rows = spark.createDataFrame([("p", "a", 1), ("p", None, 2), ("q", "a", 3), (None, "a", 4)], "packet string, k string, n int")
+    facts = spark.createDataFrame([("p", "a", None), ("p", "a", 7), ("p", None, 8), (None, "a", 9)], "packet string, k string, v int")
+    got = {r.n: sorted([x.v for x in r.found], key=str) for r in G.beside(rows, facts, "k", "found").collect()}
+    assert got == {1: [7, None], 2: [], 3: [], 4: []}
