@@ -17,6 +17,8 @@ from docketlab.operators.evidence import QUESTION_RATIO
 #: How a page scores.
 MOST_HITS, LONG_TOKEN, EVIDENCE, MENTIONED, UNSEEN = 5, 7, 4, 1000, -4
 PAGES, GRAM = 12, 3
+#: Pairs of word and token that are sent to every task at most (some 60 bytes each); more are joined by a shuffle.
+SENT = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -38,7 +40,7 @@ def _asked(questions: DataFrame) -> DataFrame:
     return questions.select("packet", "question", F.explode(review.question_tokens(F.col("text"))).alias("t"))
 
 
-def top_pages(questions: DataFrame, pages: DataFrame, evidence: DataFrame, k: int = PAGES) -> DataFrame:
+def top_pages(questions: DataFrame, pages: DataFrame, evidence: DataFrame, k: int = PAGES, sent: int = SENT) -> DataFrame:
     """packet, question, page, score, rank: the k best pages of each question's packet, page number on ties.
 
     A page that is not blank scores, for each token of the question, its occurrences in hint and text (MOST_HITS at
@@ -53,11 +55,15 @@ def top_pages(questions: DataFrame, pages: DataFrame, evidence: DataFrame, k: in
     asked, seen = _asked(questions), pages.where(~F.coalesce("blank", F.lit(False)))
     base = F.when(F.coalesce("unseen", F.lit(False)), UNSEEN).otherwise(0)
     word = lambda df, keys, text: df.select(*keys, F.explode(words_of(text)).alias("word")).where(F.length("word") >= GRAM)
-    in_pages = word(seen, ["packet", "page"], F.concat_ws(" ", "hint", "text")).groupBy("packet", "page", "word").agg(F.count("*").alias("times"))
+    in_pages = word(seen, ["packet", "page"], F.concat_ws(" ", "hint", "text"))
     in_evidence = word(evidence, ["packet", "page", "id"], F.concat_ws(" ", "kind", "number", "quote")).distinct()
     vocabulary = in_pages.select("word").union(in_evidence.select("word")).distinct()
     pairs = occurrences(vocabulary, asked)
-    hits = in_pages.join(pairs, "word").groupBy("packet", "page", "t").agg(F.sum(c("times") * c("n")).alias("hits"))
+    if pairs.limit(sent + 1).count() <= sent:  # words meet tokens where they are, and only hits move
+        pairs, times = F.broadcast(pairs), F.lit(1)
+    else:
+        in_pages, times = in_pages.groupBy("packet", "page", "word").agg(F.count("*").alias("times")), c("times")
+    hits = in_pages.join(pairs, "word").groupBy("packet", "page", "t").agg(F.sum(times * c("n")).alias("hits"))
     points = F.least(c("hits"), F.lit(MOST_HITS)) * F.when(F.length("t") > LONG_TOKEN, 2).otherwise(1)
     backed = in_evidence.join(pairs.select("word", "t"), "word").select("packet", "page", "id", "t").distinct().join(seen.select("packet", "page"), ["packet", "page"], "left_semi")
     found = hits.select("packet", "page", "t", points.alias("p")).unionByName(backed.select("packet", "page", "t", F.lit(EVIDENCE).cast("bigint").alias("p")))
