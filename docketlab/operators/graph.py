@@ -9,6 +9,11 @@ from docketlab.functions import dimensions as D
 from docketlab.functions import text as T
 from docketlab.operators import review
 
+#: Pages whose token counts one task holds, for all questions.
+PAGES_A_TASK = 5_000
+#: Tokens of questions that are sent to every task at most; more are joined by a shuffle.
+TOKENS_SENT = 1_000_000
+
 
 def upserted(nodes: DataFrame) -> DataFrame:
     """One row per node id: the first type and label, all evidence ids sorted and distinct. nodes: id, type, label, pos, evidence."""
@@ -33,10 +38,13 @@ def top_pages(questions: DataFrame, pages: DataFrame, k: int = 12, most_hits: in
 
     A token counts at most `most_hits` times, and twice if longer than `long_token`. Questions' tokens, without stop
     words, meet the pages' words, counted page by page, in an equi join; retrieval.top_pages has the whole score.
+    Words that are tokens move once, by page, to as many tasks as pages call for: all counts of a page are made there.
     questions: question, text; pages: page, text."""
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, pages.count() // PAGES_A_TASK + 1)
     tokens = questions.select("question", F.explode(review.question_tokens(F.col("text"))).alias("t"))
+    tokens = F.broadcast(tokens) if tokens.limit(TOKENS_SENT + 1).count() <= TOKENS_SENT else tokens
     words = pages.select("page", F.explode(F.split(T.normalize(F.col("text")), " ")).alias("t")).where(F.length("t") > 2)
-    hits = words.join(tokens.select("t").distinct(), "t", "left_semi").groupBy("page", "t").agg(F.count("*").alias("n"))
+    hits = words.join(tokens.select("t"), "t", "left_semi").repartition(parts, "page").groupBy("page", "t").agg(F.count("*").alias("n"))
     score = F.sum(F.least(F.col("n"), F.lit(most_hits)) * F.when(F.length("t") > long_token, 2).otherwise(1)).cast("long")
     scored = hits.join(tokens, "t").groupBy("question", "page").agg(score.alias("score"))
     w = Window.partitionBy("question").orderBy(F.col("score").desc(), "page")

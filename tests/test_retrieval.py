@@ -2,7 +2,7 @@
 
 import random
 
-from docketlab.operators import retrieval
+from docketlab.operators import graph, retrieval
 
 
 def _rows(spark):
@@ -30,3 +30,10 @@ def test_pairs_sent_and_pairs_joined_say_the_same(spark):
     assert got == sorted(map(tuple, joined.collect())) and len(got) == 45
     by_page = lambda df: [m for m in _moved(df) if "word" in m and "page" in m and "id#" not in m]
     assert not by_page(sent) and by_page(joined)
+
+
+def test_counts_of_a_page_move_once(spark):
+    q, pages, _ = _rows(spark)
+    top = graph.top_pages(q.drop("packet"), pages.select("page", "text"))
+    assert top.where("rank = 1").count() == 9
+    assert sum("page" in m for m in _moved(top)) == 1
