@@ -32,7 +32,7 @@ def _frame(spark, sql, fields):
 
 
 def _tables(spark, d):
-    # rows of a packet come together once, before texts and ids are made of them; an order makes some 30 rows, so tasks
+    # rows of a packet come together once, before texts and ids are made of them; an order makes some 12 rows, so tasks
     # are counted by orders, and a number given keeps them from being put together by their small size
     read = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("customer", "orders")}
     parts = max(spark.sparkContext.defaultParallelism, read["orders"].count() // _ORDERS_A_TASK + 1)
