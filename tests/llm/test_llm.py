@@ -406,6 +406,27 @@ def test_language_model_knows_passages_that_stand_elsewhere(spark):
     assert max(got[k] for k in range(20, 60)) < min(got[k] for k in both) - 1
 
 
+def test_language_model_keeps_words_that_come_again(monkeypatch):
+    """A worker that knows too many words lets those go that did not come again, and what it says stays the same."""
+    path, rng = language_model.default_path(), np.random.default_rng(6)
+    vocab = language_model.vocabulary(path)
+    layers = [language_model.initial(vocab, np.ones(vocab), rng) for _ in (0, 1)]
+    batches = [sorted({*range(50), *range(1000 * b, 1000 * b + 400)}) for b in range(1, 7)]
+    said, asked, encode = {}, collections.Counter(), language_model.subwords
+    monkeypatch.setattr(language_model, "subwords", lambda texts, path: asked.update(texts) or encode(texts, path))
+    for room in (10**6, 1000, 60):
+        monkeypatch.setattr(language_model, "KNOWN_WORDS", room)
+        asked.clear()
+        model = language_model.Model(*layers, path)
+        said[room] = [model.lookup(np.array(u, np.uint64), lambda new, u=u: [b"word%d" % u[i] for i in new]) for u in batches]
+        assert len(model.known) <= room + 450 and (np.diff(model.known.astype(np.int64)) > 0).all()
+        if room >= 1000:
+            assert set(asked.values()) == {1}
+    for room in (1000, 60):
+        for (first, rest), (first2, rest2) in zip(said[10**6], said[room], strict=True):
+            assert (first == first2).all() and np.allclose(rest, rest2, atol=1e-4)
+
+
 def brute_components(texts, num=80, den=100):
     sets = {}
     for i, t in texts.items():
