@@ -8,6 +8,7 @@ import pytest
 
 from docketlab.operators import extractions as X
 from docketlab.operators import merge
+from docketlab.plans import catalogue_extractions as C
 
 SCHEMA = f"packet string, pos long, {', '.join(f'{f} string' for f in X.FIELDS)}, category string, description string, parties array<struct<name:string,role:string>>, refs array<string>, evidence array<{X.ANCHOR}>"
 MISSING = {"", "NOT STATED", "NEEDS REVIEW", "UNKNOWN", "NOT PROVIDED", "N A", "NA"}
@@ -142,3 +143,20 @@ def test_merged_instruments_move_whole_rows_once(spark):
 def test_merge_rows_moves_whole_rows_once(spark):
     rows = spark.createDataFrame([], "key int, pos long, name string, other string")
     assert moves(merge.merge_rows(rows, "key", ["name", "other"])) == (1, False)
+
+
+def test_gathered_and_counted_groups_say_the_same(spark):
+    rows = C._rows(spark, "/root/testdata/sf0.001")
+    want = sorted(map(str, X.merge_instruments(rows).collect()))
+    for gathered in (0, 3):
+        assert sorted(map(str, X.merge_instruments(rows, gathered).collect())) == want
+
+
+def test_rows_of_one_pos_follow_by_what_they_say(spark):
+    schema = "packet long, pos long, " + ", ".join(f"{f} string" for f in X.FIELDS) + f", parties array<struct<name:string,role:string>>, refs array<string>, evidence array<{X.ANCHOR}>"
+    row = lambda status, name, quote: (1, 5, "Deed", "7", *[None] * 4, status, None, None, [(name, "Grantor")], [name], [(1, None, None, quote, 0.5)])
+    given = [row("OPEN", "Jo", "A b"), row("open", "JO", "a  B"), row("Paid", "Ann", "c")]
+    for gathered in (0, 1000):
+        made = [X.merge_instruments(spark.createDataFrame(g, schema).coalesce(1), gathered).collect() for g in (given, given[::-1])]
+        assert made[0] == made[1] and made[0][0].status == "OPEN" and [p.name for p in made[0][0].parties] == ["Ann", "JO"]
+        assert made[0][0].refs == ["Ann", "JO", "Jo"] and [a.quote for a in made[0][0].evidence] == ["A b", "c"]
