@@ -144,19 +144,26 @@ def relevant(questions: DataFrame, all_nodes: DataFrame, all_edges: DataFrame) -
     nodes. questions: question, packet, tokens (array, in comparison form).
 
     Filling up in order is a running count: an end that is new takes the next place at its first edge, so windows by
-    question say the same as a loop."""
+    question say the same as a loop. Nodes and edges of a question go through these windows as rows of one table, so that
+    the graph is made once, not anew for each use of its nodes."""
     words = T.normalize(F.concat_ws(" ", "type", "label", F.flatten(F.transform(F.map_entries("attributes"), lambda e: F.array(e["key"], F.coalesce(e["value"], F.lit("null")))))))
     scored = questions.join(all_nodes.select("packet", "id", words.alias("words")), "packet")
     points = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(F.contains(F.col("words"), t), F.when(F.length(t) > LONG_TOKEN, 2).otherwise(1)).otherwise(0))
-    by = Window.partitionBy("question", "packet")
-    scored = scored.select("question", "packet", "id", points.alias("score")).where("score > 0")
-    seeds = scored.withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "id")).cast("long")).where(F.col("place") <= SEEDS).drop("score")
-    chosen = seeds.groupBy("question", "packet").agg(F.collect_list("id").alias("seeds"))
-    at = all_edges.select("packet", "id", "src", "dst").join(chosen, "packet").where(F.array_contains("seeds", F.col("src")) | F.array_contains("seeds", F.col("dst")))
-    near = at.select("question", "packet", "id", "src", "dst").withColumn("place", F.row_number().over(by.orderBy("id")).cast("long")).where(F.col("place") <= EDGES)
-    both = near.select("question", "packet", F.posexplode(F.array("src", "dst")).alias("side", "id"), "place")
-    both = both.select("question", "packet", "id", (F.col("place") * 2 + F.col("side")).alias("first"))
-    both = beside(both, all_nodes.select("packet", "id"), "id", "found").where(F.size("found") > 0).drop("found")
-    merged = both.unionByName(seeds, allowMissingColumns=True).groupBy("question", "packet", "id").agg(F.min("place").alias("place"), F.min("first").alias("first"))
+    scored = scored.select("question", "packet", "id", points.alias("score"))
+    linked = questions.select("question", "packet").join(all_edges.select("packet", F.col("id").alias("edge"), "src", "dst"), "packet")
+    by, is_node = Window.partitionBy("question", "packet"), F.col("edge").isNull()
+    # nodes come first, edges have no score
+    rows = scored.unionByName(linked, allowMissingColumns=True).withColumn("rank", F.row_number().over(by.orderBy(F.desc_nulls_last("score"), "id")).cast("long"))
+    rows = rows.withColumn("place", F.when((F.col("score") > 0) & (F.col("rank") <= SEEDS), F.col("rank"))).drop("score", "rank")
+    rows = rows.withColumn("seeds", F.collect_list(F.when(F.col("place").isNotNull(), F.col("id"))).over(by))
+    rows = rows.where(is_node | F.array_contains("seeds", F.col("src")) | F.array_contains("seeds", F.col("dst"))).drop("seeds")
+    # edges come first, nodes have none
+    rows = rows.withColumn("turn", F.row_number().over(by.orderBy(F.col("edge").asc_nulls_last())).cast("long")).where(is_node | (F.col("turn") <= EDGES))
+    near = rows.where(~is_node).select("question", "packet", F.col("edge").alias("id"), "src", "dst", F.col("turn").alias("place"))
+    met = lambda i, place, first: F.struct(F.col(i).alias("id"), place.cast("long").alias("place"), first.cast("long").alias("first"))
+    none, twice = F.lit(None), F.col("turn") * 2
+    ends = rows.select("question", "packet", is_node.alias("node"), F.inline(F.when(is_node, F.array(met("id", F.col("place"), none))).otherwise(F.array(met("src", none, twice), met("dst", none, twice + 1)))))
+    merged = ends.groupBy("question", "packet", "id").agg(F.min("place").alias("place"), F.min("first").alias("first"), F.bool_or("node").alias("node"))
+    merged = merged.where(F.col("node") & (F.col("place").isNotNull() | (F.col("first").isNotNull() & F.col("id").isNotNull())))
     placed = merged.withColumn("place", F.row_number().over(by.orderBy(F.col("place").asc_nulls_last(), "first")).cast("long")).where(F.col("place") <= NODES)
-    return placed.select("question", "packet", "id", "place"), near.select("question", "packet", "id", "src", "dst", "place")
+    return placed.select("question", "packet", "id", "place"), near

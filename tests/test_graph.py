@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from docketlab.operators import evidence_graph as G
 
 
@@ -72,3 +74,15 @@ def test_null_keys_meet_no_fact(spark):
     facts = spark.createDataFrame([("p", "a", None), ("p", "a", 7), ("p", None, 8), (None, "a", 9)], "packet string, k string, v int")
     got = {r.n: sorted([x.v for x in r.found], key=str) for r in G.beside(rows, facts, "k", "found").collect()}
     assert got == {1: [7, None], 2: [], 3: [], 4: []}
+
+
+def test_a_questions_graph_is_made_once(spark):
+    i = F.col("id").cast("string")
+    nodes = spark.range(7777).select((F.col("id") % 9).alias("packet"), F.concat(F.lit("n"), i).alias("id"), F.lit("DEED").alias("type"), i.alias("label"), F.create_map(F.lit("k"), i).alias("attributes"))
+    edges = spark.range(8888).select((F.col("id") % 9).alias("packet"), F.concat(F.lit("e"), i).alias("id"), F.concat(F.lit("n"), i).alias("src"), F.concat(F.lit("n"), (F.col("id") + 9).cast("string")).alias("dst"))
+    asked = spark.range(9).select(F.col("id").alias("question"), F.col("id").alias("packet"), F.array(F.lit("deed")).alias("tokens"))
+    taken, _ = G.relevant(asked, nodes, edges)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 7777") == plan.count("Range (0, 8888") == 1
+    # ends that no node stands for take no place
+    assert taken.join(nodes.select("packet", "id"), ["packet", "id"], "left_anti").count() == 0
